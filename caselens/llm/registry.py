@@ -5,20 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caselens.session import table
 
+from .splitting import limits, oversized_items, split_oversized
+from .targets import sample_to_targets
 from .tokenizer import encode_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sampler(spark: SparkSession, sf_dir: str):
+    return sample_to_targets(table(spark, sf_dir, "medxpertqa_mm_2000"), table(spark, sf_dir, "sample_targets"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler(spark, sf_dir).report().where(~F.col("met")).select("plan_id", "category")
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler(spark, sf_dir).sample().select("plan_id", F.col("item").alias("id"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler(spark, sf_dir).report()
+
+
+_KEY = ["field_name", "item_key", "page_number"]
+
+
+def _long_texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """The items of problem 2 by field: item_key, page_number, text."""
+    text = table(spark, sf_dir, "medpix_case_text").select(F.col("pdf_path").alias("item_key"), "page_number", "text")
+    talk = table(spark, sf_dir, "medpix_cases").select(F.col("u_id").alias("item_key"), F.lit(0).alias("page_number"), F.col("disease_discussion").alias("text"))
+    return [("medpix_case_text.text", text), ("medpix_cases.disease_discussion", talk)]
+
+
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool, distinct_first: bool) -> list[tuple[DataFrame, int]]:
+    at, out = limits(table(spark, sf_dir, "split_limits")), []
+    for field, items in _long_texts(spark, sf_dir):
+        if field in at:
+            items = items.withColumn("field_name", F.lit(field))
+            pieces = split_oversized(items.distinct() if distinct_first else items, _KEY, "text", *at[field], with_text=with_text)
+            out.append((pieces, at[field][0]))
+    return out
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # repeated rows are cut each and only their few columns made distinct: no text is shuffled
+    a, *rest = [oversized_items(p, _KEY, n) for p, n in _pieces(spark, sf_dir, with_text=False, distinct_first=False)]
+    for b in rest:
+        a = a.unionByName(b)
+    return a
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, *rest = [p for p, _ in _pieces(spark, sf_dir, with_text=True, distinct_first=True)]
+    for b in rest:
+        a = a.unionByName(b)
+    return a
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_ids": p5_ids}
+    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_ids": p5_ids}
 
 
 def oracle_sql() -> dict[str, str]:
