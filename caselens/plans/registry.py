@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from caselens.operators.packed_values import split_packed
+from caselens.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_packed(table(spark, sf_dir, "medpix_cases"), "u_id", "differential_diagnosis")
+
 
 def flagship(spark, sf_dir):
     raise NotImplementedError
 
 
 def queries():
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql():
