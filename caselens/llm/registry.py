@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselens.session import table
 
+from .canonical import map_to_list
 from .splitting import limits, oversized_items, split_oversized
 from .targets import sample_to_targets
 from .tokenizer import encode_documents
@@ -67,12 +68,36 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a
 
 
+def _typed_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field_name, rec_key, value of problem 4, one row a key."""
+    cases = table(spark, sf_dir, "medpix_cases").select(F.col("u_id").alias("rec_key"), F.explode(F.create_map(F.lit("medpix_cases.title"), "title", F.lit("medpix_cases.case_diagnosis"), "case_diagnosis")).alias("field_name", "value"))
+    options = table(spark, sf_dir, "medxpertqa_mm_2000").select("id", F.explode("options").alias("letter", "value"))
+    options = options.select(F.lit("medxpertqa_mm_2000.options").alias("field_name"), F.concat("id", F.lit(":"), "letter").alias("rec_key"), "value")
+    both = cases.select("field_name", "rec_key", "value").unionByName(options)
+    return both.where("value is not null").distinct().groupBy("field_name", "rec_key").agg(F.max("value").alias("value"))
+
+
+def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_to_list(_typed_diagnoses(spark, sf_dir), table(spark, sf_dir, "diagnosis_list"), ["field_name", "rec_key"], "value")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_mapped(spark, sf_dir).drop("score")
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that name no entry, with the number of records of each."""
+    values = _typed_diagnoses(spark, sf_dir)
+    none = map_to_list(values.groupBy("field_name", "value").agg(F.count("*").alias("n_records")).withColumn("v", F.col("value")), table(spark, sf_dir, "diagnosis_list"), ["field_name", "value", "n_records"], "v")
+    return none.where("ref_id = 0").select("field_name", "value", "n_records")
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_ids": p5_ids}
+    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids}
 
 
 def oracle_sql() -> dict[str, str]:
