@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caselens.session import table
 
 from .canonical import map_to_list
+from .quality import quality_stats, train_quality
 from .splitting import limits, oversized_items, split_oversized
 from .targets import sample_to_targets
 from .tokenizer import encode_documents
@@ -96,8 +97,17 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_stats(docs, model=train_quality(docs))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_stats(spark, sf_dir).where("p_junk >= 0.5").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids}
+    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids, "p7_found": p7_found, "p7_stats": p7_stats}
 
 
 def oracle_sql() -> dict[str, str]:
