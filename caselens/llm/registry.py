@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caselens.session import table
 
 from .canonical import map_to_list
+from .leaks import find_leaks
 from .quality import quality_stats, train_quality
 from .splitting import limits, oversized_items, split_oversized
 from .targets import sample_to_targets
@@ -97,6 +98,14 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
 def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_stats(docs, model=train_quality(docs))
@@ -107,7 +116,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids, "p7_found": p7_found, "p7_stats": p7_stats}
+    return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_stats": p7_stats}
 
 
 def oracle_sql() -> dict[str, str]:
