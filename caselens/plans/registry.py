@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from caselens.operators.packed_values import split_packed
 from caselens.session import table
 
-from . import results
+from . import corpus, results, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {"p3_found": (p3_found, None), **results.QUERIES}
+    return {"p3_found": (p3_found, None), **results.QUERIES, **corpus.QUERIES, **retrieval.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
