@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: The trigger, the phrases whose letters are no answers, and the patterns, in order of precedence.
 TRIGGER = "ANSWER:"
@@ -38,33 +38,38 @@ def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def parse_official(text: Column) -> Column:
-    """The first lone letter after the last trigger, else the last lone letter of all."""
-    parts = F.split(text, TRIGGER)
-    rest = F.element_at(parts, -1)
+def _official(text: Column) -> Column:
+    rest = F.element_at(F.split(text, TRIGGER), -1)
     for phrase in NO_ANSWERS:
         rest = F.replace(rest, F.lit(phrase), F.lit(""))
     letters = F.filter(F.split(rest, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-J]$"))
-    return F.when(F.size(letters) > 0, F.when(F.size(parts) > 1, F.element_at(letters, 1)).otherwise(F.element_at(letters, -1)))
+    return let(letters, lambda x: F.when(F.size(x) > 0, F.when(text.contains(TRIGGER), F.element_at(x, 1)).otherwise(F.element_at(x, -1))))
+
+
+def parse_official(text: Column) -> Column:
+    """The first lone letter after the last trigger, else the last lone letter of all."""
+    return let(text, _official)
 
 
 def parse_boxed(text: Column) -> Column:
     """The first boxed letter, else what ``parse_official`` finds."""
-    return F.coalesce(_first(text, BOXED), parse_official(text))
+    return let(text, lambda x: F.coalesce(_first(x, BOXED), _official(x)))
 
 
 def parse_strict(text: Column) -> Column:
     """Only an explicit commitment: a phrase that says so, or a letter alone on the last or the first line."""
-    raw = strip(text)
-    lines = F.filter(F.transform(F.split(raw, LINE_BREAK), strip), lambda x: x != "")
-    ends = [F.get(lines, F.size(lines) - 1), F.get(lines, F.lit(0))]
-    return F.coalesce(*[F.upper(_first(raw, p)) for p in STRICT], *[_first(x, LONE_LETTER) for x in ends])
+
+    def find(raw: Column) -> Column:
+        lines = F.filter(F.transform(F.split(raw, LINE_BREAK), strip), lambda x: x != "")
+        alone = let(lines, lambda x: F.coalesce(_first(F.get(x, F.size(x) - 1), LONE_LETTER), _first(F.get(x, F.lit(0)), LONE_LETTER)))
+        return F.coalesce(*[F.upper(_first(raw, p)) for p in STRICT], alone)
+
+    return let(strip(text), find)
 
 
 def parse_lenient(text: Column) -> Column:
     """The first hit of ever weaker patterns, after one leading ``Answer:`` is taken off."""
-    rest = F.regexp_replace(text, LENIENT_PREFIX, "")
-    return F.coalesce(*[F.upper(_first(rest, p)) for p in LENIENT])
+    return let(F.regexp_replace(text, LENIENT_PREFIX, ""), lambda rest: F.coalesce(*[F.upper(_first(rest, p)) for p in LENIENT]))
 
 
 PARSERS = {"official": parse_official, "strict": parse_strict, "lenient": parse_lenient, "boxed": parse_boxed}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ STOP_WORDS = ["the", "a", "of", "and", "or", "in", "on", "to", "with", "by", "fo
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -24,8 +31,7 @@ def normalise(text: Column) -> Column:
 
 def is_substring(needle: Column, hay: Column) -> Column:
     """Whether the normalised needle lies in the normalised hay; false if either is empty."""
-    n, h = normalise(needle), normalise(hay)
-    return (n != "") & (h != "") & h.contains(n)
+    return let(F.struct(normalise(needle).alias("n"), normalise(hay).alias("h")), lambda x: (x["n"] != "") & (x["h"] != "") & x["h"].contains(x["n"]))
 
 
 def concept_tokens(text: Column) -> Column:
@@ -36,8 +42,12 @@ def concept_tokens(text: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Shared words of two token arrays in percent of the smaller one, cut to an integer; 0 if ``a`` is empty."""
-    shared, least = F.size(F.array_intersect(a, b)), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    return F.when(F.size(a) == 0, 0).otherwise(F.floor(100 * shared / least)).cast("int")
+
+    def ratio(x: Column) -> Column:
+        shared, least = F.size(F.array_intersect(x["a"], x["b"])), F.greatest(F.least(F.size(x["a"]), F.size(x["b"])), F.lit(1))
+        return F.when(F.size(x["a"]) == 0, 0).otherwise(F.floor(100 * shared / least)).cast("int")
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def is_fuzzy_match(needle: Column, hay: Column, threshold: int = 90) -> Column:

@@ -38,7 +38,7 @@ def score_outputs(df: DataFrame, primary: str = "boxed") -> DataFrame:
 
     A null prediction is right only where gold is null too.
     """
-    text = strip(F.coalesce(F.col("raw_output"), F.lit("")))
-    out = df.withColumns({f"predicted_{p}": parse(text) for p, parse in PARSERS.items()})
+    out = df.withColumn("__text", strip(F.coalesce(F.col("raw_output"), F.lit(""))))
+    out = out.withColumns({f"predicted_{p}": parse(F.col("__text")) for p, parse in PARSERS.items()}).drop("__text")
     out = out.withColumns({f"correct_{p}": F.col(f"predicted_{p}").eqNullSafe(F.col("gold")) for p in PARSERS})
     return out.withColumns({"predicted": F.col(f"predicted_{primary}"), "correct": F.col(f"correct_{primary}"), "primary_parser": F.lit(primary)})

@@ -151,7 +151,7 @@ BM25 = f"""{TEXTS}, docs AS (SELECT u_id, list_filter(string_split({norm_sql("te
  terms AS (SELECT term, count(*) AS df FROM post GROUP BY term),
  ask AS (SELECT * FROM medxpertqa_mm_2000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY question NULLS LAST) = 1),
  qt AS (SELECT id AS qid, unnest({tokens_sql("question")}) AS term FROM ask),
- useful AS (SELECT qid, term, df, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, n_docs, avg_terms FROM qt JOIN terms USING (term), size WHERE df <= 0.2 * n_docs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, term) <= 12),
+ useful AS (SELECT qid, term, df, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, n_docs, avg_terms FROM qt JOIN terms USING (term), size WHERE df <= 0.05 * n_docs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, term) <= 8),
  scored AS (SELECT qid, u_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n_terms / avg_terms))), 4) AS score FROM useful JOIN post USING (term) GROUP BY qid, u_id),
  sparse AS (SELECT qid, u_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, u_id)::INT AS rank, score FROM scored QUALIFY rank <= 3)"""
 RECORDED = """seen AS (SELECT qid, sources FROM results WHERE condition = 'use_vision-on' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1),
