@@ -26,7 +26,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Colum
     centre = (p + z * z / (2 * m)) / denom
     margin = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / denom
     zero = F.lit(0.0)
-    return F.coalesce(p, zero), F.coalesce(F.greatest(zero, centre - margin), zero), F.coalesce(F.least(F.lit(1.0), centre + margin), zero)
+    return F.coalesce(p, zero), F.coalesce(F.greatest(zero, centre - margin), zero), F.when(n > 0, F.least(F.lit(1.0), centre + margin)).otherwise(zero)
 
 
 def mcnemar(b: Column, c: Column) -> tuple[Column, Column]:

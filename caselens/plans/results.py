@@ -168,7 +168,7 @@ QUERIES = {
     ),
     "mcnemar_pairwise": (
         lambda s, d: audit.mcnemar_pairwise(_latest(s, d)),
-        f"""WITH {LATEST}, acc AS (SELECT condition, avg(ok::INT)::BIGINT AS a FROM latest GROUP BY condition),
+        f"""WITH {LATEST}, acc AS (SELECT condition, avg(ok::INT) AS a FROM latest GROUP BY condition),
  counts AS (SELECT y.condition, sum((x.ok AND NOT y.ok)::INT)::BIGINT AS b, sum((NOT x.ok AND y.ok)::INT)::BIGINT AS c FROM latest x JOIN latest y ON x.qid = y.qid AND x.condition = 'no-rag' AND y.condition <> 'no-rag' GROUP BY 1),
  chi AS (SELECT *, {CHI2} AS chi2 FROM counts), tested AS (SELECT *, {P_RAW} AS p_raw FROM chi), {holm_sql("tested", "condition")}
  SELECT condition, b, c, round(chi2, 6) AS chi2, round(p_raw, 6) AS p_raw, round(p_holm, 6) AS p_holm, round((acc.a - (SELECT a FROM acc WHERE condition = 'no-rag')) * 100, 6) AS delta_pp, p_holm < 0.05 AS significant FROM adjusted JOIN acc USING (condition)""",
