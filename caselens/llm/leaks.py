@@ -30,12 +30,12 @@ LEAST_WORDS, LEAST_IN_ALL = 17, 22
 #: Tokens that must agree with a match, and the shares of a run's tokens and weight that must match: of a run over several
 #: sentences, of one within a single sentence, and of each of several runs.
 #: A run counts as within a sentence if that holds more than the last share of its weight.
-LEAST_RUN, TOKEN_SHARE, WEIGHT_SHARE, ONE_SENTENCE, OF_SEVERAL, IN_ONE = 5, 0.6, 0.8, 0.92, 0.85, 0.72
+LEAST_RUN, TOKEN_SHARE, WEIGHT_SHARE, ONE_SENTENCE, OF_SEVERAL, IN_ONE = 5, 0.6, 0.82, 0.96, 0.92, 0.72
 #: Offsets of one run differ by at most so many words from match to match; a run's matches lie that near each other.
 DRIFT, GAP = 3, 6
 #: Weights of neighbouring words go from 0, held by every item, to 1, held by one; below the first they are not looked up.
-#: Cells of the offset and item place grids; least places met in a cell, and least weight of them.
-LEAST_RARE, OFFSETS, PLACES, LEAST_MET, LEAST_MASS = 0.45, 16, 40, 3, 2.4
+#: Cells of the offset and item place grids; least places met in a cell, and least weight of them; how much the corpus lowers a weight.
+LEAST_RARE, OFFSETS, PLACES, LEAST_MET, LEAST_MASS, CORPUS = 0.4, 16, 40, 4, 2.8, 0.3
 CACHE_WORDS = 300_000
 #: Letters that look like Latin ones. Fixed values.
 _ALIKE = str.maketrans("абвгеёзіїјкмнорѕтухԁһӏԛԝαβγεικνορτυχω", "abbreeziijkmhopstyxdhlqwabyeiknoptuxw")
@@ -106,11 +106,11 @@ class Items:
         self.rare = np.log((n_items + 1) / np.maximum(holders, 1)) / self.unit if len(holders) else np.zeros(0)
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        """Lower the weight of neighbours to that of their rarer word in the corpus: the lists are met rarest first,
-        and what the corpus has everywhere brings nothing up."""
+        """Lower the weight of neighbours whose words the corpus has everywhere, by ``CORPUS`` at most: an item that
+        itself lies in a large part of the corpus must still be brought up by its own words."""
         size = max(1, len(self.vocabulary))
         corpus = np.log((n_docs + 1) / (df + 1)) if len(df) else np.zeros(0)
-        self.rare = np.minimum(self.rare, (corpus[self.code // size] + corpus[self.code % size]) / self.unit)
+        self.rare = self.rare * (1 - CORPUS + CORPUS * np.minimum(1, (corpus[self.code // size] + corpus[self.code % size]) / self.unit))
 
 
 def _sentences(text: str) -> list[list[tuple[str, ...]]]:
@@ -181,7 +181,7 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 def score(items: Items, item: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int]:
     """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak."""
     words, sentences, weight = items.word_of[item], items.sentence_of[item], items.weight[items.terms[item]]
-    best, total = 0, 0
+    best, total, good = 0, 0, 0
     for run in runs(len(words), place, at):
         a, b = run[0], run[-1] + 1
         span = int(words[b - 1] - words[a] + 1)
@@ -189,12 +189,12 @@ def score(items: Items, item: int, place: np.ndarray, at: np.ndarray) -> tuple[i
             continue
         share = weight[run].sum() / weight[a:b].sum()
         if share >= OF_SEVERAL:
-            total += span
+            total, good = total + span, good + 1
         held = np.bincount(sentences[run], weight[run])
         several = held.max() <= IN_ONE * held.sum()
         if span >= LEAST_WORDS and share >= (WEIGHT_SHARE if several else ONE_SENTENCE):
             best = max(best, span)
-    return (max(best, total), best) if best or total >= LEAST_IN_ALL else (0, 0)
+    return (max(best, total), best) if best or (good > 1 and total >= LEAST_IN_ALL) else (0, 0)
 
 
 def _pairs(items: Items, doc: np.ndarray, term: np.ndarray, at: np.ndarray) -> np.ndarray:
