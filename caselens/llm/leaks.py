@@ -25,12 +25,14 @@ from caselens.session import checkpointed
 
 #: The items are broadcast; a larger set is refused. Several sets can be searched one after another.
 MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
-#: Words of one stretch that an item and a document must share; of several stretches (sentences in another order) in all.
-LEAST_WORDS, LEAST_IN_ALL = 17, 22
-#: Tokens that must agree with a match, and the shares of a run's tokens and weight that must match: of a run over several
-#: sentences, of one within a single sentence, and of each of several runs.
-#: A run counts as within a sentence if that holds more than the last share of its weight.
-LEAST_RUN, TOKEN_SHARE, WEIGHT_SHARE, ONE_SENTENCE, OF_SEVERAL, IN_ONE = 5, 0.6, 0.82, 0.96, 0.92, 0.72
+#: Words of one stretch that an item and a document must share; of several stretches (sentences in another order) in all,
+#: and in each.
+LEAST_WORDS, LEAST_IN_ALL, LEAST_OF_SEVERAL = 18, 22, 8
+#: Matches that must agree with each other, and the share of a run's tokens that must match.
+LEAST_RUN, TOKEN_SHARE = 5, 0.6
+#: The share of a run's weight that must match: of a run over several sentences, shorter and longer than ``LONG`` words, of one
+#: of whose weight a single sentence has more than ``IN_ONE``, and of each of several runs. MISSED: see ``_best_part``.
+LONG, SHORT_SHARE, LONG_SHARE, ONE_SENTENCE, IN_ONE, OF_SEVERAL, MISSED = 26, 0.88, 0.82, 0.96, 0.72, 0.95, 2.5
 #: Offsets of one run differ by at most so many words from match to match; a run's matches lie that near each other.
 DRIFT, GAP = 3, 6
 #: Weights of neighbouring words go from 0, held by every item, to 1, held by one; below the first they are not looked up.
@@ -178,21 +180,34 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return np.split(where, np.flatnonzero(np.diff(where) > GAP) + 1) if len(where) else []
 
 
+def _best_part(run: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The part of a run with the greatest sum of matched weight less ``MISSED`` times the missing: where a document goes
+    on in the manner of the item but in other words, the run ends."""
+    a, b = int(run[0]), int(run[-1]) + 1
+    gain = -MISSED * weight[a:b]
+    gain[run - a] = weight[run]
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    end = int((total[1:] - np.minimum.accumulate(total[:-1])).argmax()) + 1
+    start = int(total[:end].argmin())
+    return run[(run >= a + start) & (run < a + end)]
+
+
 def score(items: Items, item: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int]:
     """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak."""
     words, sentences, weight = items.word_of[item], items.sentence_of[item], items.weight[items.terms[item]]
     best, total, good = 0, 0, 0
     for run in runs(len(words), place, at):
+        run = _best_part(run, weight)
         a, b = run[0], run[-1] + 1
         span = int(words[b - 1] - words[a] + 1)
         if len(run) < LEAST_RUN or len(run) < TOKEN_SHARE * (b - a) or span < LEAST_RUN:
             continue
         share = weight[run].sum() / weight[a:b].sum()
-        if share >= OF_SEVERAL:
+        if share >= OF_SEVERAL and span >= LEAST_OF_SEVERAL:
             total, good = total + span, good + 1
         held = np.bincount(sentences[run], weight[run])
-        several = held.max() <= IN_ONE * held.sum()
-        if span >= LEAST_WORDS and share >= (WEIGHT_SHARE if several else ONE_SENTENCE):
+        least = ONE_SENTENCE if held.max() > IN_ONE * held.sum() else SHORT_SHARE if span < LONG else LONG_SHARE
+        if span >= LEAST_WORDS and share >= least:
             best = max(best, span)
     return (max(best, total), best) if best or (good > 1 and total >= LEAST_IN_ALL) else (0, 0)
 
