@@ -119,5 +119,19 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_stats": p7_stats}
 
 
+P1_SQL = r"""WITH q AS (SELECT DISTINCT id, f, lower(regexp_replace(v, '[^\p{L}]', '', 'g')) AS label FROM (
+  SELECT id, unnest(['body_system', 'medical_task', 'question_type']) AS f, unnest([body_system, medical_task, question_type]) AS v FROM medxpertqa_mm_2000 WHERE id IS NOT NULL)),
+ c AS (SELECT f, label, count(*) AS k FROM q GROUP BY f, label), n AS (SELECT count(DISTINCT id) AS n FROM medxpertqa_mm_2000)
+SELECT plan_id, category FROM sample_targets t LEFT JOIN c ON c.f = t.field_name AND c.label = lower(regexp_replace(t.category, '[^\p{L}]', '', 'g')), n
+WHERE coalesce(k, 0) < greatest(min_rows, target_share * sample_fraction * n)"""
+
+P2_SQL = r"""WITH items AS (SELECT DISTINCT 'medpix_case_text.text' AS field_name, pdf_path AS item_key, page_number, text FROM medpix_case_text
+  UNION SELECT DISTINCT 'medpix_cases.disease_discussion', u_id, 0, disease_discussion FROM medpix_cases),
+ long AS (SELECT i.*, max_chars FROM items i JOIN split_limits USING (field_name) WHERE length(text) > max_chars)
+SELECT DISTINCT field_name, item_key, page_number, 'oversized' AS kind FROM long
+UNION SELECT DISTINCT field_name, item_key, page_number, 'unbroken' FROM long WHERE list_max(list_transform(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: length(x))) > max_chars"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it on whole tables; the other operators are tested against brute force and held-out cases."""
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL}
