@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselens.operators.skew import join_unique
+from caselens.session import checkpointed
 
 #: The list is broadcast; a longer one is refused.
 MAX_LIST_ROWS = 200_000
@@ -260,5 +261,6 @@ def map_to_list(values: DataFrame, reference: DataFrame, key_cols: list[str], va
             got = [find(v) for v in f["__v"]]
             yield pd.DataFrame({"__h": f["__h"], "ref_id": [g[0] for g in got], "score": [round(g[1], 6) for g in got]})
 
-    found = each.mapInPandas(run, "__h string, ref_id long, score double")
+    # written once: the join reads it for the common values and again for the rest
+    found = checkpointed(each.mapInPandas(run, "__h string, ref_id long, score double"))
     return join_unique(at.drop("__v"), found, "__h").drop("__h")
