@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -232,7 +233,8 @@ class Index:
         return self.ids[top[1]], top[0]
 
 
-_worker: dict[int, Index] = {}
+#: The index a worker has built, by the mark of the call it belongs to.
+_worker: dict[str, Index] = {}
 
 
 def map_to_list(values: DataFrame, reference: DataFrame, key_cols: list[str], value_col: str, id_col: str = "ref_id", name_col: str = "dx_name", short_col: str = "short_form") -> DataFrame:
@@ -246,13 +248,12 @@ def map_to_list(values: DataFrame, reference: DataFrame, key_cols: list[str], va
     rows = [tuple(r) for r in reference.select(id_col, name_col, short_col).distinct().orderBy(id_col, name_col, short_col).limit(MAX_LIST_ROWS + 1).collect()]
     if len(rows) > MAX_LIST_ROWS:
         raise ValueError(f"a reference list has at most {MAX_LIST_ROWS} rows")
-    sent = values.sparkSession.sparkContext.broadcast(rows)
+    sent, mark = values.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     at = values.select(*key_cols, F.col(value_col).cast("string").alias("__v")).where(F.length(F.regexp_replace("__v", r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]", "")) > 0)
     at = at.withColumn("__h", F.md5("__v"))
     each = at.groupBy("__h").agg(F.first("__v").alias("__v"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = id(sent)
         if mark not in _worker:
             _worker.clear()
             _worker[mark] = Index(sent.value)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -137,7 +138,8 @@ class _Ids(dict):
         return known
 
 
-_worker: dict[int, tuple] = {}
+#: The words a worker has looked up, by the mark of the call they belong to.
+_worker: dict[str, _Ids] = {}
 
 
 def _postings(texts: list[str | None], ids: _Ids) -> tuple[pa.ListArray, pa.ListArray]:
@@ -288,15 +290,15 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
     if len(rows) > MAX_ITEMS or sum(len(t.split()) for _, t in rows) > MAX_ITEM_WORDS:
         raise ValueError(f"at most {MAX_ITEMS} items of {MAX_ITEM_WORDS} words in all are searched at a time")
     items = Items(rows)
-    sent = spark.sparkContext.broadcast(items)
+    sent, mark = spark.sparkContext.broadcast(items), uuid.uuid4().hex
     source = corpus.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     kind = source.schema["d"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(sent) not in _worker:
+        if mark not in _worker:
             _worker.clear()
-            _worker[id(sent)] = (sent.value, _Ids(sent.value.vocabulary))
-        ids = _worker[id(sent)][1]
+            _worker[mark] = _Ids(sent.value.vocabulary)
+        ids = _worker[mark]
         for b in batches:
             terms, places = _postings(b.column(1).to_pylist(), ids)
             yield pa.RecordBatch.from_arrays([b.column(0), terms, places], names=["d", "terms", "places"])
