@@ -24,11 +24,11 @@ def test_trees_learn_a_rule():
 def test_holdout_and_tables(spark):
     prose = ["The patient was seen again and was well, with no sign of the disease that had been found before.", "He was sent home on the third day and has been well since then, as far as we know."]
     junk = ["a. zinc.\nb. copper.\nc. renal cyst.\nd. urea.\ne. fever.", "0f3a 9b2c 77de 01aa 5c3f 9b2c 77de 01aa", "item\tvalue\nzinc\t1.2\ncopper\t3.4\nurea\t5.6"]
-    rows = [(i, t, "z") for i, t in enumerate((prose + junk) * 40)] + [(900, None, "z"), (901, "", "z"), (902, " ", "z")]
+    rows = [(i, t, "z") for i, t in enumerate((prose + junk) * 40)] + [(900, None, "z"), (901, "", "z"), (902, " ", "z"), (None, prose[0], "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, p_junk string")
     model = Q.train_quality(df)
     got = {r.doc_id: r.p_junk for r in Q.quality_stats(df, model=model).collect()}
-    assert all((got[i] >= 0.5) == (i % 5 >= 2) for i in range(200)) and got[900] is None and got[901] is None and got[902] is None
+    assert all((got[i] >= 0.5) == (i % 5 >= 2) for i in range(200)) and got[None] < 0.5 and got[900] is None and got[901] is None and got[902] is None
     hand = model.probability(np.array([Q.text_stats(t) for _, t in HOLDOUT]))
     assert np.mean((hand >= 0.5) == np.array([y for y, _ in HOLDOUT])) >= 0.9
     assert Q.quality_stats(df.limit(0), model=model).count() == 0
