@@ -53,6 +53,7 @@ def boxed_sql(x: str) -> str:
     return f"coalesce(nullif(regexp_extract({x}, '\\\\boxed\\{{\\s*([A-J])\\s*\\}}', 1), ''), {official_sql(x)})"
 
 
+#: The parsers' patterns again, as DuckDB writes them, so that the SQL stands on its own.
 STRICT_SQL = [
     r"(?i)\bANSWER\s*(?:is|:|=)\s*[\(\[\{]?\s*([A-J])\b",
     r"(?i)(?:the\s+)?(?:correct|best|right|final)\s+answer\s*(?:is|:|=)?\s*[\(\[\{]?\s*([A-J])\b",
