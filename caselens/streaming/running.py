@@ -16,11 +16,14 @@ def accuracy_by_window(records: DataFrame, time_col: str = "finished_at", window
     hit = correctness(records, field).cast("long")
     timed = records.where(F.col(time_col).isNotNull()).select(F.col(time_col).alias("t"), "condition", hit.alias("hit"))
     if records.isStreaming:
-        timed = timed.withWatermark("t", delay)
+        timed = timed.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", delay)  # a watermark needs a zone
     out = timed.groupBy(F.window("t", window).alias("w"), "condition").agg(F.count("*").alias("total"), F.sum("hit").alias("correct"))
-    return out.select(F.col("w.start").alias("window_start"), "condition", "total", "correct")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "condition", "total", "correct")
 
 
 def distinct_records(records: DataFrame, key: list[str], time_col: str = "ingested_at", delay: str = "30 days") -> DataFrame:
     """The first of equal records of a stream, remembered for ``delay``."""
-    return records.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key) if records.isStreaming else records.dropDuplicates(key)
+    if not records.isStreaming:
+        return records.dropDuplicates(key)
+    timed = records.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return timed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key)
