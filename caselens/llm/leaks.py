@@ -34,6 +34,10 @@ LEAST_RUN, TOKEN_SHARE = 5, 0.6
 #: The share of a run's weight that must match: of a run over several sentences, shorter and longer than ``LONG`` words, of one
 #: of whose weight a single sentence has more than ``IN_ONE``, and of each of several runs. MISSED: see ``_best_part``.
 LONG, SHORT_SHARE, LONG_SHARE, ONE_SENTENCE, IN_ONE, OF_SEVERAL, MISSED = 26, 0.88, 0.82, 0.96, 0.72, 0.95, 2.5
+#: Beside these shares, a run that follows the item in at least FOLLOWED of its words is judged by how it differs: what fits
+#: the words around it in the items, or a number for a number, is how a sister question differs (ALIKE, in log odds), any
+#: other word is how an altered copy does (OTHER). Chances of a word in a sister question keep off 0 and 1 by SURE; LEAST_ODDS is a leak.
+FOLLOWED, ALIKE, OTHER, SURE, LEAST_ODDS = 0.8, -6.0, 1.0, 0.03, 5.0
 #: Offsets of one run differ by at most so many words from match to match; a run's matches lie that near each other.
 DRIFT, GAP = 3, 6
 #: Weights of neighbouring words go from 0, held by every item, to 1, held by one; below the first they are not looked up.
@@ -108,6 +112,41 @@ class Items:
         self.unit = np.log(n_items + 1)
         self.rare = np.log((n_items + 1) / np.maximum(holders, 1)) / self.unit if len(holders) else np.zeros(0)
 
+        self.slot = self._slots()
+
+    def _slots(self) -> list[np.ndarray]:
+        """For each token of an item the chance that a sister question has it too: the share of the other items with the same
+        two tokens before (after) it that have this one there, the lesser of both; by the two sides' nearest token where no
+        other item has the two, and the least chance where none has that."""
+        size, starts = len(self.vocabulary) + 1, np.cumsum([0] + [len(t) for t in self.terms])
+        chance = np.full(starts[-1], np.nan)
+        for step in (-1, 1):
+            side = np.full(starts[-1], np.nan)
+            for width in (2, 1):
+                around = []
+                for t in self.terms:
+                    code = np.zeros(len(t), np.int64)
+                    for k in range(1, width + 1):
+                        other = np.zeros(len(t), np.int64)  # 0 stands beyond the ends
+                        if len(t) > k:
+                            (other[k:] if step < 0 else other[:-k])[:] = (t[:-k] if step < 0 else t[k:]) + 1
+                        code = code * size + other
+                    around.append(code)
+                frame = np.unique(np.concatenate(around), return_inverse=True)[1] if around else np.zeros(0, np.int64)
+                term = np.concatenate(self.terms).astype(np.int64) if self.terms else np.zeros(0, np.int64)
+                item = np.repeat(np.arange(len(self.terms)), np.diff(starts))
+                alike = frame * size + term
+                n, same = (_others(x, item, len(self.terms)) for x in (frame, alike))
+                use = np.isnan(side) & (n > 0)
+                side[use] = same[use] / n[use]
+            chance = np.fmin(chance, side)
+        if not self.terms:
+            return []
+        # a word that many items hold is no more than that a surprise
+        held = _others(np.concatenate(self.terms).astype(np.int64), item, len(self.terms)) / len(self.terms)
+        chance = np.maximum(np.nan_to_num(chance, nan=0.0), np.minimum(held, 0.45))
+        return np.split(np.clip(chance, SURE, 1 - SURE), starts[1:-1])
+
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         """Lower the weight of neighbours whose words the corpus has everywhere, by ``CORPUS`` at most: an item that
         itself lies in a large part of the corpus must still be brought up by its own words."""
@@ -116,6 +155,13 @@ class Items:
         self.rare = self.rare * (1 - CORPUS + CORPUS * np.minimum(1, (corpus[self.code // size] + corpus[self.code % size]) / self.unit))
 
 
+def _others(key: np.ndarray, item: np.ndarray, n_items: int) -> np.ndarray:
+    """How many other items have the key, for each key and item of the list."""
+    pairs = np.unique(key * max(1, n_items) + item) // max(1, n_items)
+    keys, count = np.unique(pairs, return_counts=True)
+    return count[np.searchsorted(keys, key)] - 1 if len(key) else key
+
+
 def _sentences(text: str) -> list[list[tuple[str, ...]]]:
     """Sentences as lists of words, each the tuple of its tokens."""
     out = [[t for t in map(_tokens, corpus_words(p)) if t] for p in re.split(r"(?<=[.!?])\s+(?=\S)", text.strip())]
@@ -194,12 +240,65 @@ def _best_part(run: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return run[(run >= a + start) & (run < a + end)]
 
 
-def score(items: Items, item: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int]:
-    """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak."""
+def _alike(items: Items, item: int, k: int, z: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray) -> bool:
+    """Whether a document has, for the tokens ``k`` to ``z`` of an item, what sister questions have between their neighbours."""
+    terms, size = items.terms[item], len(items.vocabulary)
+    left, right = at[place == k - 1], at[place == z]
+    step = right[None, :] - left[:, None]
+    far = np.where(step > 0, np.abs(step - (z - k + 1)), 1 << 30)
+    i, j = np.unravel_index(far.argmin(), far.shape)
+    low, high = np.searchsorted(where, [left[i] + 1, right[j]])
+    got, places = term[low:high], where[low:high]
+    if any(c.isdigit() for w in items.tokens[item][k:z] for c in w):
+        return True
+    if step[i, j] < 2 or not len(got):
+        return False
+    known = lambda a, b: (n := np.searchsorted(items.code, x := int(a) * size + int(b))) < len(items.code) and items.code[n] == x
+    return (places[0] == left[i] + 1 and known(terms[k - 1], got[0])) or (places[-1] == right[j] - 1 and known(got[-1], terms[z]))
+
+
+def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) -> tuple[np.ndarray, float]:
+    """The part of a run that is likeliest an altered copy rather than a sister question, the longest of like ones, and its
+    log odds. Neighbouring slot words are one slot, and a slot said again is no more evidence."""
+    a, b = int(run[0]), int(run[-1]) + 1
+    chance, terms = items.slot[item], items.terms[item]
+    hit = np.zeros(b - a, bool)
+    hit[run - a] = True
+    odds, said, k = np.zeros(b - a), set(), a
+    while k < b:
+        z = k + 1
+        if not hit[k - a]:
+            while z < b and not hit[z - a]:
+                z += 1
+            odds[k - a] = ALIKE if _alike(items, item, k, z, *doc) else OTHER
+        elif chance[k] < 0.5:
+            while z < b and hit[z - a] and chance[z] < 0.5:
+                z += 1
+            words = tuple(terms[k:z].tolist())
+            if words not in said:
+                said.add(words)
+                odds[k - a] = -np.log(chance[k:z].min())
+        k = z
+    total = np.concatenate([[0.0], np.cumsum(odds)])
+    gain = total[1:] - np.minimum.accumulate(total[:-1])
+    end = len(gain) - int((gain[::-1] >= gain.max() - 1e-9).argmax())
+    start = int((total[:end] <= total[:end].min() + 1e-9).argmax())
+    return run[(run >= a + start) & (run < a + end)], float(gain.max())
+
+
+def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray) -> tuple[int, int]:
+    """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak.
+
+    ``term`` and ``where`` are the document's item words and their places."""
     words, sentences, weight = items.word_of[item], items.sentence_of[item], items.weight[items.terms[item]]
     best, total, good = 0, 0, 0
-    for run in runs(len(words), place, at):
-        run = _best_part(run, weight)
+    for whole in runs(len(words), place, at):
+        run, odds = _altered_part(items, item, whole, place, at, term, where) if words[whole[-1]] - words[whole[0]] + 1 >= LEAST_WORDS else (whole, 0.0)
+        if odds >= LEAST_ODDS and len(run):
+            span, followed = int(words[run[-1]] - words[run[0]] + 1), len(np.unique(words[run]))
+            if span >= LEAST_WORDS and followed >= FOLLOWED * span:
+                best = max(best, span)
+        run = _best_part(whole, weight)
         a, b = run[0], run[-1] + 1
         span = int(words[b - 1] - words[a] + 1)
         if len(run) < LEAST_RUN or len(run) < TOKEN_SHARE * (b - a) or span < LEAST_RUN:
@@ -270,7 +369,7 @@ def search(items: Items, terms: list[np.ndarray], places: list[np.ndarray]) -> l
         n = hi - lo
         first = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
         place, at = order[first], np.repeat(p, n)
-        total, longest = score(items, i, place, at) if len(at) else (0, 0)
+        total, longest = score(items, i, place, at, t, p) if len(at) else (0, 0)
         if total:
             out.append((int(d), int(i), total, longest))
     return out
