@@ -380,8 +380,10 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
 
     Null and empty texts carry nothing; null, empty and blank items leak nowhere; items whose text is the same leak
     alike. A document twice in the corpus is reported twice. Closing sentences that two or more items share are left
-    out of the items. Nothing is capped: every document's every item word is in the index, and every pair that three
-    rare words bring up is checked. Other columns are not read.
+    out of the items. Every document's every item word is in the index. Checked is every pair of item and document that
+    shares, at offsets within ``OFFSETS`` / 2 and item places within ``PLACES`` / 2 of each other, ``LEAST_MET`` different pairs of neighbouring
+    words of weight ``LEAST_MASS`` in all; pairs of words that so many items hold that they weigh less than ``LEAST_RARE`` are not
+    looked up. So a stretch with most of its rare neighbours changed may be missed. Other columns are not read.
     """
     spark = corpus.sparkSession
     texts = heldout.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull() & F.col(item_id_col).isNotNull()).distinct()
