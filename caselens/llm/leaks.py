@@ -1,28 +1,26 @@
 """Held-out items that leak into a corpus, by a positional inverted index over the corpus (problem 6).
 
-The corpus is turned once into postings: for every document, the places of each word that any item uses. They are
-stored, split by document as search engines do, so that lists are intersected where they lie and nothing is shuffled.
-The items' words are counted over the whole corpus; then, in each shard, the lists of the rarest item words are
-met with each other at equal offsets (document place less item place), which gives the pairs worth a look, and
-those are checked over all their words: runs that follow the item nearly word by word, weighted by how rare a
-word is among the items, so that another question of the same make does not count.
+The index (``postings.py``) holds the places of every term of the corpus. In each of its segments an item's lists are
+met from the rarest on, at equal offsets (place in the document less place in the item); what two rare lists bring up
+is looked for in the item's other lists, and pairs that share enough are checked over all their words: runs that
+follow the item nearly word by word, exact or with words changed, weighted by how rare a word is among the items, so
+that another question of the same make does not count.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.session import checkpointed
+from caselens.session import checkpointed, local_frame
+
+from .postings import DOCUMENTS, NUMBERS, Segment, build_index, corpus_words, segments, word_tokens
 
 #: The items are broadcast; a larger set is refused. Several sets can be searched one after another.
 MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
@@ -37,42 +35,13 @@ LONG, SHORT_SHARE, LONG_SHARE, ONE_SENTENCE, IN_ONE, OF_SEVERAL, MISSED = 26, 0.
 #: Beside these shares, a run that follows the item in at least FOLLOWED of its words is judged by how it differs: what fits
 #: the words around it in the items, or a number for a number, is how a sister question differs (ALIKE, in log odds), any
 #: other word is how an altered copy does (OTHER). Chances of a word in a sister question keep off 0 and 1 by SURE; LEAST_ODDS is a leak.
-FOLLOWED, ALIKE, OTHER, SURE, LEAST_ODDS = 0.8, -6.0, 1.0, 0.03, 5.0
+FOLLOWED, ALIKE, OTHER, SURE, LEAST_ODDS, SPARSE = 0.77, -6.0, 1.5, 0.03, 5.0, 0.8
 #: Offsets of one run differ by at most so many words from match to match; a run's matches lie that near each other.
 DRIFT, GAP = 3, 6
-#: Weights of neighbouring words go from 0, held by every item, to 1, held by one; below the first they are not looked up.
-#: Cells of the offset and item place grids; least places met in a cell, and least weight of them; how much the corpus lowers a weight.
-LEAST_RARE, OFFSETS, PLACES, LEAST_MET, LEAST_MASS, CORPUS = 0.4, 16, 40, 4, 2.8, 0.3
-CACHE_WORDS = 300_000
-#: Letters that look like Latin ones. Fixed values.
-_ALIKE = str.maketrans("абвгеёзіїјкмнорѕтухԁһӏԛԝαβγεικνορτυχω", "abbreeziijkmhopstyxdhlqwabyeiknoptuxw")
-_UNSEEN = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f")
-_PART = re.compile(r"[^\W_]+")
-_BREAK = re.compile(r"(\w)[-‐­][ \t]*\r?\n[ \t>|*#]*(?=\w)")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&(?:nbsp|ensp|emsp|thinsp|#160|#xa0);", re.I)
-_QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|*#]+[ \t]?)+")
-
-
-def _tokens(word: str) -> tuple[str, ...]:
-    """The parts of a word as compared: runs of letters and digits, without case, marks, widths and look-alikes."""
-    word = word.lower()
-    if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c) and c not in _UNSEEN)
-        if any("\u0370" <= c <= "\u052f" for c in word) and sum("a" <= c <= "z" for c in word):
-            word = word.translate(_ALIKE)
-    return tuple(_PART.findall(word))
-
-
-def corpus_words(text: str) -> list[str]:
-    """The words between white space, with broken words joined and mark-up taken out."""
-    if "\n" in text:
-        if "-\n" in text or "-\r" in text or "‐" in text or "­" in text or "- \n" in text:
-            text = _BREAK.sub(r"\1", text)
-        if "\n>" in text or text.startswith(">"):
-            text = _QUOTE.sub("", text)
-    if "<" in text or "&" in text:
-        text = _TAG.sub(" ", text)
-    return text.split()
+#: Phrases of a stretch whose lists are met first; phrases that must meet at one offset; tokens in ``LEAST_WORDS`` in a row that
+#: must then be found there, and their share of what these tokens weigh that sister questions lack.
+RAREST, LEAST_MET, LEAST_NEAR, LEAST_OWN = 12, 3, 12, 0.6
+
 
 
 class Items:
@@ -80,7 +49,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         split = [(i, _sentences(t)) for i, t in rows]
-        closing = Counter(tuple(x for w in ss[-1] for x in w) for _, ss in split if len(ss) > 1)
+        closing = Counter(tuple(x for w in ss[-1] for x in w) for ss in {t: _sentences(t) for _, t in rows}.values() if len(ss) > 1)
         self.ids, self.tokens, self.word_of, self.sentence_of = [], [], [], []
         for i, sentences in split:
             if len(sentences) > 1 and closing[tuple(x for w in sentences[-1] for x in w)] > 1:
@@ -93,26 +62,29 @@ class Items:
                 self.sentence_of.append(np.array([f[1] for f in flat]))
                 self.tokens.append([f[2] for f in flat])
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.tokens for w in ws))}
+        self.vocabulary[NUMBERS] = len(self.vocabulary)
         self.terms = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in self.tokens]
         n_items = max(1, len(self.ids))
         held = np.zeros(len(self.vocabulary))
         for t in self.terms:
             held[np.unique(t)] += 1
         self.weight = np.log((n_items + 1) / np.maximum(held, 1)) + 0.01
-        # the index of neighbouring words: pair of terms -> (item, place), both words' places one apart
-        size = len(self.vocabulary)
-        code = np.concatenate([t[:-1].astype(np.int64) * size + t[1:] for t in self.terms]) if self.terms else np.zeros(0, np.int64)
-        item = np.repeat(np.arange(len(self.terms)), [len(t) - 1 for t in self.terms]).astype(np.int32)
-        place = np.concatenate([np.arange(len(t) - 1) for t in self.terms]).astype(np.int32) if self.terms else np.zeros(0, np.int32)
-        order = np.argsort(code, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.code, first = np.unique(code[order], return_index=True)
-        self.start = np.append(first, len(code)).astype(np.int64)
-        holders = np.array([len(np.unique(self.item[a:b])) for a, b in zip(self.start, self.start[1:])])
-        self.unit = np.log(n_items + 1)
-        self.rare = np.log((n_items + 1) / np.maximum(holders, 1)) / self.unit if len(holders) else np.zeros(0)
-
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])]).astype(np.int64)
+        self.term = np.concatenate(self.terms).astype(np.int64) if self.terms else np.zeros(0, np.int64)
+        self.item = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        self.place = np.arange(len(self.term)) - np.repeat(self.starts[:-1], np.diff(self.starts))
+        self.longest = int(np.diff(self.starts).max()) if self.terms else 0
+        self.sorted = [(order := np.argsort(t, kind="stable"), t[order]) for t in self.terms]
+        # by token the phrases that begin there, with no and with one word between, -1 beyond the item's end
+        self.begins = np.full((len(self.term), 2), -1, np.int64)
+        for apart in (1, 2):
+            k = np.flatnonzero(self.item[apart:] == self.item[:-apart])
+            self.begins[k, apart - 1] = (self.term[k] * len(self.vocabulary) + self.term[k + apart]) * 2 + apart - 1
+        self.phrase = np.unique(self.begins[self.begins >= 0])
+        self.begins = np.where(self.begins >= 0, np.searchsorted(self.phrase, self.begins), -1)
         self.slot = self._slots()
+        chance = np.concatenate(self.slot) if self.slot else np.zeros(0)
+        self.own = np.where(chance < 0.5, -np.log(np.maximum(chance, SURE)), 0.0)
 
     def _slots(self) -> list[np.ndarray]:
         """For each token of an item the chance that a sister question has it too: the share of the other items with the same
@@ -147,13 +119,6 @@ class Items:
         chance = np.maximum(np.nan_to_num(chance, nan=0.0), np.minimum(held, 0.45))
         return np.split(np.clip(chance, SURE, 1 - SURE), starts[1:-1])
 
-    def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        """Lower the weight of neighbours whose words the corpus has everywhere, by ``CORPUS`` at most: an item that
-        itself lies in a large part of the corpus must still be brought up by its own words."""
-        size = max(1, len(self.vocabulary))
-        corpus = np.log((n_docs + 1) / (df + 1)) if len(df) else np.zeros(0)
-        self.rare = self.rare * (1 - CORPUS + CORPUS * np.minimum(1, (corpus[self.code // size] + corpus[self.code % size]) / self.unit))
-
 
 def _others(key: np.ndarray, item: np.ndarray, n_items: int) -> np.ndarray:
     """How many other items have the key, for each key and item of the list."""
@@ -164,47 +129,10 @@ def _others(key: np.ndarray, item: np.ndarray, n_items: int) -> np.ndarray:
 
 def _sentences(text: str) -> list[list[tuple[str, ...]]]:
     """Sentences as lists of words, each the tuple of its tokens."""
-    out = [[t for t in map(_tokens, corpus_words(p)) if t] for p in re.split(r"(?<=[.!?])\s+(?=\S)", text.strip())]
+    out = [[t for t in map(word_tokens, corpus_words(p)) if t] for p in re.split(r"(?<=[.!?])\s+(?=\S)", text.strip())]
     return [x for x in out if x]
 
 
-class _Ids(dict):
-    """A word as it stands in a document to the numbers of its tokens among the items', -1 for one of no item."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        known = tuple(self.vocabulary.get(x, -1) for x in _tokens(word))
-        if len(word) <= 60:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = known
-        return known
-
-
-#: The words a worker has looked up, by the mark of the call they belong to.
-_worker: dict[str, _Ids] = {}
-
-
-def _postings(texts: list[str | None], ids: _Ids) -> tuple[pa.ListArray, pa.ListArray]:
-    """The terms and places of each document, in order. Words without a letter or digit take no place."""
-    get, sizes, terms, places = ids.__getitem__, [0], [], []
-    for text in texts:
-        if text:
-            t = np.fromiter(chain.from_iterable(map(get, corpus_words(text))), np.int32)
-            p = np.flatnonzero(t >= 0).astype(np.int32)
-            terms.append(t[p])
-            places.append(p)
-            sizes.append(sizes[-1] + len(p))
-        else:
-            sizes.append(sizes[-1])
-    offsets = pa.array(sizes, pa.int32())
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32())
-    return pa.ListArray.from_arrays(offsets, cat(terms)), pa.ListArray.from_arrays(offsets, cat(places))
-
-
 def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """The stretches of an item of ``size`` tokens that a document follows, each as the places matched.
 
@@ -240,8 +168,19 @@ def _best_part(run: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return run[(run >= a + start) & (run < a + end)]
 
 
-def _alike(items: Items, item: int, k: int, z: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray) -> bool:
-    """Whether a document has, for the tokens ``k`` to ``z`` of an item, what sister questions have between their neighbours."""
+def _dense_part(run: np.ndarray) -> np.ndarray:
+    """The part of a run with the greatest count of matched tokens less ``SPARSE`` times the missing ones."""
+    gain = np.full(int(run[-1] - run[0]) + 1, -SPARSE)
+    gain[run - run[0]] = 1.0
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    end = int((total[1:] - np.minimum.accumulate(total[:-1])).argmax()) + 1
+    start = int(total[:end].argmin())
+    return run[(run >= run[0] + start) & (run < run[0] + end)]
+
+
+def _difference(items: Items, item: int, k: int, z: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray, number: np.ndarray) -> float:
+    """What it says that a document has something else for the tokens ``k`` to ``z`` of an item: ``ALIKE`` if it has what sister
+    questions have there, a number for a number or words that other items have between the same neighbours."""
     terms, size = items.terms[item], len(items.vocabulary)
     left, right = at[place == k - 1], at[place == z]
     step = right[None, :] - left[:, None]
@@ -250,11 +189,13 @@ def _alike(items: Items, item: int, k: int, z: int, place: np.ndarray, at: np.nd
     low, high = np.searchsorted(where, [left[i] + 1, right[j]])
     got, places = term[low:high], where[low:high]
     if any(c.isdigit() for w in items.tokens[item][k:z] for c in w):
-        return True
+        low, high = np.searchsorted(number, [left[i] + 1, right[j]])
+        return ALIKE if high > low else OTHER
     if step[i, j] < 2 or not len(got):
-        return False
-    known = lambda a, b: (n := np.searchsorted(items.code, x := int(a) * size + int(b))) < len(items.code) and items.code[n] == x
-    return (places[0] == left[i] + 1 and known(terms[k - 1], got[0])) or (places[-1] == right[j] - 1 and known(got[-1], terms[z]))
+        return OTHER
+    known = lambda a, b: (n := np.searchsorted(items.phrase, x := (int(a) * size + int(b)) * 2)) < len(items.phrase) and items.phrase[n] == x
+    before, after = places[0] == left[i] + 1 and known(terms[k - 1], got[0]), places[-1] == right[j] - 1 and known(got[-1], terms[z])
+    return ALIKE if before or after else OTHER
 
 
 def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) -> tuple[np.ndarray, float]:
@@ -270,7 +211,7 @@ def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) ->
         if not hit[k - a]:
             while z < b and not hit[z - a]:
                 z += 1
-            odds[k - a] = ALIKE if _alike(items, item, k, z, *doc) else OTHER
+            odds[k - a] = _difference(items, item, k, z, *doc)
         elif chance[k] < 0.5:
             while z < b and hit[z - a] and chance[z] < 0.5:
                 z += 1
@@ -286,14 +227,15 @@ def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) ->
     return run[(run >= a + start) & (run < a + end)], float(gain.max())
 
 
-def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray) -> tuple[int, int]:
+def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[int, int]:
     """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak.
 
-    ``term`` and ``where`` are the document's item words and their places."""
+    ``term`` and ``where`` are the document's item words and their places, ``number`` the places of its numbers."""
     words, sentences, weight = items.word_of[item], items.sentence_of[item], items.weight[items.terms[item]]
     best, total, good = 0, 0, 0
     for whole in runs(len(words), place, at):
-        run, odds = _altered_part(items, item, whole, place, at, term, where) if words[whole[-1]] - words[whole[0]] + 1 >= LEAST_WORDS else (whole, 0.0)
+        dense = _dense_part(whole)
+        run, odds = _altered_part(items, item, dense, place, at, term, where, number) if words[dense[-1]] - words[dense[0]] + 1 >= LEAST_WORDS else (dense, 0.0)
         if odds >= LEAST_ODDS and len(run):
             span, followed = int(words[run[-1]] - words[run[0]] + 1), len(np.unique(words[run]))
             if span >= LEAST_WORDS and followed >= FOLLOWED * span:
@@ -313,77 +255,159 @@ def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.n
     return (max(best, total), best) if best or (good > 1 and total >= LEAST_IN_ALL) else (0, 0)
 
 
-def _pairs(items: Items, doc: np.ndarray, term: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(document, item) pairs worth a look: the lists of neighbouring item words, met at offsets one apart, give enough
-    different places of the item, and enough weight."""
-    size = len(items.vocabulary)
-    both = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
-    code = term[:-1][both].astype(np.int64) * size + term[1:][both]
-    d = doc[:-1][both]
-    if not len(items.code) or not len(code):
-        return np.zeros((0, 2), np.int64)
-    hit = np.minimum(np.searchsorted(items.code, code), len(items.code) - 1)
-    known = (items.code[hit] == code) & (items.rare[hit] >= LEAST_RARE)
-    hit, d = hit[known], d[known]
-    n = items.start[hit + 1] - items.start[hit]
-    total = int(n.sum())
-    first = np.repeat(items.start[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-    pair = np.repeat(d, n).astype(np.int64) * len(items.ids) + items.item[first]
-    place, w = items.place[first].astype(np.int64), np.repeat(items.rare[hit], n)
-    off = np.repeat(at[:-1][both][known], n).astype(np.int64) - place + (1 << 20)
-    # what a pair has in the whole document bounds what it has in a cell, which leaves most pairs out at once
-    codes, back = np.unique(pair, return_inverse=True)
-    often = ((np.bincount(back) >= LEAST_MET) & (np.bincount(back, w) >= LEAST_MASS))[back] if total else np.zeros(0, bool)
-    pair, off, place, w = back[often].astype(np.int64), off[often], place[often], w[often]
-    found = [np.zeros(0, np.int64)]
-    for x in (0, OFFSETS // 2):  # two shifted grids each, so that what lies near each other shares a cell of one
-        for y in (0, PLACES // 2):
-            cell = (pair << 38) | ((off + x) // OFFSETS << 16) | (place + y) // PLACES
-            order = np.lexsort((place, cell))
-            c, p, m = cell[order], place[order], w[order]
-            once = np.ones(len(c), bool)  # a place of the item counts once in a cell
-            once[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
-            c, m = c[once], m[once]
-            if len(c):
-                new = np.ones(len(c), bool)
-                new[1:] = c[1:] != c[:-1]
-                group = np.cumsum(new) - 1
-                good = (np.bincount(group) >= LEAST_MET) & (np.bincount(group, m) >= LEAST_MASS)
-                found.append(c[new][good] >> 38)
-    keys = codes[np.unique(np.concatenate(found))]
-    return np.stack([keys // len(items.ids), keys % len(items.ids)], 1)
-
-
-def search(items: Items, terms: list[np.ndarray], places: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-    """(document, item, words, longest run) of every leak in a shard."""
-    sizes = np.array([len(t) for t in terms])
-    if not sizes.sum():
+def _lists(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of several lists one after another: from ``first``, ``n`` each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def phrases(items: Items, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of two item terms next to each other or with one word between, met in all documents of a segment at once:
+    length of each phrase's list, and the lists, one after another."""
+    words = slice(0, seg.first[-1])  # all lists but that of the numbers, whose places are others' too
+    order = np.argsort(seg.place[words], kind="stable")
+    place, term = seg.place[words][order], seg.term[words][order]
+    code, at = [], []
+    for step, apart in ((1, 1), (1, 2), (2, 2)):  # with a word of no item between, two apart stand next to each other
+        ok = place[step:] - place[:-step] == apart
+        code.append((term[:-step][ok] * len(items.vocabulary) + term[step:][ok]) * 2 + apart - 1)
+        at.append(place[:-step][ok])
+    code, at = np.concatenate(code), np.concatenate(at)
+    if not len(items.phrase):
+        return np.zeros(0, np.int64), at[:0]
+    which = np.minimum(np.searchsorted(items.phrase, code), len(items.phrase) - 1)
+    known = items.phrase[which] == code
+    which, at = which[known], at[known]
+    return np.bincount(which, minlength=len(items.phrase)), at[np.lexsort((at, which))]
+
+
+def rarest(items: Items, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token of all items, 0 or 1 word between) of the phrases that are met first: in each stretch of ``LEAST_WORDS`` tokens
+    of an item the ``RAREST`` with the shortest lists. ``size`` has each phrase's, those in no document take no part."""
+    far, width = np.int64(1) << 60, LEAST_WORDS - 1
+    n = np.where(items.begins >= 0, size[items.begins], 0)
+    n = np.where(n > 0, n, far)
+    spread = np.full((len(n) + (len(items.ids) + 1) * (width - 1), 2), far)
+    at = np.arange(len(n)) + (items.item + 1) * (width - 1)
+    spread[at] = n
+    windows = np.lib.stride_tricks.sliding_window_view(spread.ravel(), 2 * width)[::2]
+    least = np.partition(windows, RAREST - 1, axis=1)[:, RAREST - 1]
+    none = np.zeros(width - 1, np.int64)
+    most = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, least, none]), width).max(1)[at]
+    return np.nonzero((n < far) & (n <= most[:, None]))
+
+
+def candidates(items: Items, seg: Segment) -> np.ndarray:
+    """(document, item) pairs that share enough of a stretch: the lists of its rarest phrases are met at equal offsets (place in
+    the document less place in the item), and what ``LEAST_MET`` of them bring up is looked for in the lists of the
+    item's other terms."""
+    size, lists = phrases(items, seg)
+    none = np.zeros((0, 2), np.int64)
+    if not size.sum():
+        return none
+    token, between = rarest(items, size)
+    phrase = items.begins[token, between]
+    n = size[phrase]
+    g, token = lists[_lists((np.cumsum(size) - size)[phrase], n)], np.repeat(token, n)
+    doc, place = np.searchsorted(seg.starts, g, "right") - 1, items.place[token]
+    span, bits = int(np.diff(seg.starts).max()) + 2 * items.longest + DRIFT + 1, items.longest.bit_length()
+    pair = doc * len(items.ids) + items.item[token]
+    key = np.sort((pair * span + g - seg.starts[doc] - place + items.longest) << bits | place)
+    offset, place = key >> bits, key & ((1 << bits) - 1)
+    # runs of offsets that drift little; those where enough phrases lie near each other in the item are looked at
+    new = np.ones(len(key), bool)
+    new[1:] = (np.diff(offset) > DRIFT - 1) | (offset[1:] // span != offset[:-1] // span)
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    order = np.argsort(run << bits | place, kind="stable")
+    p = place[order]
+    close = np.zeros(len(first), bool)
+    m = LEAST_MET - 1
+    close[run[order][m:][(run[order][m:] == run[order][:-m]) & (p[m:] - p[:-m] < LEAST_WORDS)]] = True
+    low, high = np.minimum.reduceat(place, first)[close], np.maximum.reduceat(place, first)[close]
+    last = np.append(first[1:], len(key))[close] - 1
+    first = first[close]
+    pair, early, late = offset[first] // span, offset[first] % span - items.longest, offset[last] % span - items.longest
+    got = [np.zeros(0, np.int64)]
+    for a, b in _chunks(pair, 20_000):  # so many runs at a time, whatever their number; a pair's runs stay together
+        got.append(_met(items, seg, pair[a:b], early[a:b], late[a:b], low[a:b], high[a:b]))
+    kept = np.concatenate(got)
+    return np.stack([kept // len(items.ids), kept % len(items.ids)], 1)
+
+
+def _chunks(key: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``size`` of a sorted array that part no equal ones."""
+    a = 0
+    while a < len(key):
+        b = int(np.searchsorted(key, key[min(a + size, len(key)) - 1], "right"))
+        yield a, b
+        a = b
+
+
+def _met(items: Items, seg: Segment, pair: np.ndarray, early: np.ndarray, late: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The pairs of which ``LEAST_NEAR`` tokens in ``LEAST_WORDS`` of the item are met in their runs of offsets together, and
+    ``LEAST_OWN`` of what these tokens weigh that sister questions lack."""
+    item, doc = pair % len(items.ids), pair // len(items.ids)
+    a = items.starts[item] + np.maximum(0, low - LEAST_WORDS)
+    b = np.minimum(items.starts[item + 1], items.starts[item] + high + LEAST_WORDS)
+    n = b - a
+    at, run = _lists(a, n), np.repeat(np.arange(len(pair)), n)
+    place, term = items.place[at], items.term[at]
+    start, end = np.maximum(seg.starts[doc][run], seg.starts[doc][run] + early[run] - 1 + place), np.minimum(seg.starts[doc + 1][run] - 1, seg.starts[doc][run] + late[run] + 1 + place)
+    total = int(seg.starts[-1]) + 1
+    where = np.searchsorted(seg.key, term * total + start)
+    hit = (start <= end) & (np.append(seg.key, np.iinfo(np.int64).max)[where] <= term * total + end)
+    pairs, which = np.unique(pair, return_inverse=True)
+    n = np.diff(items.starts)[pairs % len(items.ids)]
+    ends = np.cumsum(n)
+    met = np.zeros(int(ends[-1]), np.int64)
+    met[(ends - n)[which[run[hit]]] + place[hit]] = 1
+    own = items.own[_lists(items.starts[pairs % len(items.ids)], n)]
+    last = np.minimum(np.arange(len(met)) + LEAST_WORDS, np.repeat(ends, n))
+    near, mine, all_ = (x[last] - x[:-1] for x in (np.concatenate([[0], np.cumsum(y)]) for y in (met, met * own, own)))
+    return pairs[np.logical_or.reduceat((near >= LEAST_NEAR) & (mine >= LEAST_OWN * all_), ends - n)]
+
+
+def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int]]:
+    """(document, item, words, longest run) of every leak in a segment."""
+    pairs = candidates(items, seg)
+    if not len(pairs):
         return []
-    doc = np.repeat(np.arange(len(terms)), sizes)
+    # the searched words of the documents in question, in their order
+    asked = np.unique(pairs[:, 0])
+    kept = np.zeros(len(seg.docs), bool)
+    kept[asked] = True
+    words, number = seg.place[: seg.first[-1]], seg.place[seg.first[-1] :]
+    kept = np.flatnonzero(kept[np.searchsorted(seg.starts, words, "right") - 1])
+    where, term = words[kept], seg.term[kept]
+    order = np.argsort(where, kind="stable")
+    where, term = where[order], term[order]
+    ends = [seg.starts[asked], seg.starts[asked + 1]]
+    of = {x[0]: x[1:] for x in zip(asked.tolist(), *np.searchsorted(where, ends).tolist(), *np.searchsorted(number, ends).tolist())}
     out = []
-    for d, i in _pairs(items, doc, np.concatenate(terms), np.concatenate(places)):
-        words = items.terms[i]
-        order = np.argsort(words, kind="stable")
-        t, p = terms[d], places[d]
-        lo, hi = np.searchsorted(words[order], t, "left"), np.searchsorted(words[order], t, "right")
+    for d, i in pairs.tolist():
+        a, b, y, z = of[d]
+        t, p, digits = term[a:b], where[a:b] - seg.starts[d], number[y:z] - seg.starts[d]
+        order, words = items.sorted[i]
+        lo, hi = np.searchsorted(words, t, "left"), np.searchsorted(words, t, "right")
         n = hi - lo
-        first = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        place, at = order[first], np.repeat(p, n)
-        total, longest = score(items, i, place, at, t, p) if len(at) else (0, 0)
+        place, at = order[_lists(lo, n)], np.repeat(p, n)
+        total, longest = score(items, i, place, at, t, p, digits) if len(at) else (0, 0)
         if total:
-            out.append((int(d), int(i), total, longest))
+            out.append((d, i, total, longest))
     return out
 
 
-def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "item_text") -> DataFrame:
+def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "item_text", index: DataFrame | None = None) -> DataFrame:
     """item_id, ``id_col``, n_words, longest_run of every item and document that carries enough of it.
 
-    Null and empty texts carry nothing; null, empty and blank items leak nowhere; items whose text is the same leak
-    alike. A document twice in the corpus is reported twice. Closing sentences that two or more items share are left
-    out of the items. Every document's every item word is in the index. Checked is every pair of item and document that
-    shares, at offsets within ``OFFSETS`` / 2 and item places within ``PLACES`` / 2 of each other, ``LEAST_MET`` different pairs of neighbouring
-    words of weight ``LEAST_MASS`` in all; pairs of words that so many items hold that they weigh less than ``LEAST_RARE`` are not
-    looked up. So a stretch with most of its rare neighbours changed may be missed. Other columns are not read.
+    ``index`` is the corpus's, if it was built before (``postings.build_index``, checkpointed); one index serves any
+    number of searches. Null and empty texts carry nothing; null, empty and blank items leak nowhere; items whose text
+    is the same leak alike. A document twice in the corpus is reported twice. Closing sentences that items of different
+    text share are left out of the items. Every list of every document is searched and none is cut. Looked at is a pair
+    for which ``LEAST_MET`` of the ``RAREST`` shortest lists of a stretch's phrases (two terms, at most one word between) meet at
+    offsets within ``DRIFT`` and that then has ``LEAST_NEAR`` of ``LEAST_WORDS`` tokens in a row. A changed word spoils four
+    phrases at most, so a stretch with two words changed is always looked at; with more it depends on which. What is
+    looked at is then judged by ``score``. Other columns are not read.
     """
     spark = corpus.sparkSession
     texts = heldout.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull() & F.col(item_id_col).isNotNull()).distinct()
@@ -391,57 +415,21 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
     if len(rows) > MAX_ITEMS or sum(len(t.split()) for _, t in rows) > MAX_ITEM_WORDS:
         raise ValueError(f"at most {MAX_ITEMS} items of {MAX_ITEM_WORDS} words in all are searched at a time")
     items = Items(rows)
-    sent, mark = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-    source = corpus.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    kind = source.schema["d"].dataType.simpleString()
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _worker:
-            _worker.clear()
-            _worker[mark] = _Ids(sent.value.vocabulary)
-        ids = _worker[mark]
-        for b in batches:
-            terms, places = _postings(b.column(1).to_pylist(), ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), terms, places], names=["d", "terms", "places"])
-
-    postings = checkpointed(source.mapInArrow(index, f"d {kind}, terms array<int>, places array<int>"))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(sent.value.vocabulary)
-        count = np.zeros(size + 1, np.int64)
-        for b in batches:
-            terms, starts = _flat(b.column(0))
-            doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            count[:size] += np.bincount(np.unique(doc.astype(np.int64) * size + terms) % size, minlength=size)[:size] if size and len(terms) else 0
-            count[size] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int32()), pa.array(count)], names=["term", "n"])
-
-    df = postings.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros(len(items.vocabulary) + 1, np.int64)
-    for r in df:
-        seen[r["term"]] = r["n"]
-    items.weigh(seen[:-1], int(seen[-1]))
-    ready = spark.sparkContext.broadcast(items)
+    sent = spark.sparkContext.broadcast(items)
+    kind = corpus.schema[id_col].dataType.simpleString()
+    if index is None:
+        index = checkpointed(build_index(corpus, id_col, text_col))
+    # the items' terms are bounded, and only their lists leave the JVM
+    terms = local_frame(spark, [(t,) for t in (DOCUMENTS, *items.vocabulary)], "term string")
+    lists = index.join(F.broadcast(terms), "term", "left_semi")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        its = ready.value
-        for b in batches:
-            for low in range(0, b.num_rows, 2_000):
-                part = b.slice(low, 2_000)
-                terms, starts = _flat(part.column(1))
-                places, _ = _flat(part.column(2))
-                cut = lambda x: [x[a:z] for a, z in zip(starts[:-1], starts[1:])]
-                got = search(its, cut(terms), cut(places))
-                if got:
-                    d, i, n, run = zip(*got)
-                    yield pa.RecordBatch.from_arrays([pa.array([its.ids[k] for k in i], pa.int64()), part.column(0).take(pa.array(d, pa.int32())), pa.array(n, pa.int32()), pa.array(run, pa.int32())], names=["item_id", "d", "n_words", "longest_run"])
-
-    found = postings.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int")
+        its = sent.value
+        for seg in segments(batches, its.vocabulary):
+            got = search(its, seg)
+            if got:
+                d, i, n, run = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), pa.array(n, pa.int32()), pa.array(run, pa.int32())], names=["item_id", "d", "n_words", "longest_run"])
+
+    found = lists.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int")
     return found.withColumnRenamed("d", id_col)
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and starts of a list column, of a slice too."""
-    starts = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)
-    return values[starts[0] : starts[-1]], starts - starts[0]
