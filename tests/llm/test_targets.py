@@ -22,7 +22,7 @@ def test_counts_follow_the_targets(spark):
     assert got[1, "gamma"].drawn == 6 and abs(got[1, "alpha"].drawn - 74 * 0.5 / 0.95) <= 1 and abs(sum(got[1, c].drawn for c in ("alpha", "Beta", "gamma")) - 80) <= 1
     assert got[2, "two"].gap == 0 and abs(got[2, "two"].drawn - 100) <= 1 and abs(got[2, "one"].drawn - 100) <= 1
     assert (got[3, "delta"].available, got[3, "delta"].met, got[3, "delta"].gap) == (0, False, 40.0)
-    assert [tuple(r) for r in s.gaps().collect()] == [(3, "delta")]
+    assert [(r.plan_id, r.category, r.gap) for r in s.gaps().collect()] == [(3, "delta", 40.0)] and all(r.converged for r in got.values())
     drawn = s.sample().collect()
     assert len({(r.plan_id, r.item) for r in drawn}) == len(drawn)
     again = sample_to_targets(questions(spark).repartition(3), plans, "id", seed=3).sample().collect()
@@ -37,10 +37,40 @@ def test_items_of_two_categories(spark):
     assert abs(got["x"].drawn - 50) <= 2 and abs(got["y"].drawn - 30) <= 2
 
 
+def test_two_fields_of_a_plan(spark):
+    rows = [(f"q{i}", "head" if i % 3 == 0 else "chest", "look" if i % 5 < 3 else "treat") for i in range(1200)]
+    plans = [(1, "body", "head", 0.5), (1, "body", "chest", 0.5), (1, "task", "look", 0.4), (1, "task", "treat", 0.6)]
+    plans = spark.createDataFrame([(*p, 1, 0.2) for p in plans], PLAN)
+    s = Sampler(spark.createDataFrame(rows, "id string, body string, task string"), plans, "id")
+    got = {r.category: r for r in s.report().collect()}
+    for category, want in (("head", 120), ("chest", 120), ("look", 96), ("treat", 144)):
+        assert got[category].expected == pytest.approx(want, abs=1e-4) and abs(got[category].drawn - want) <= 1 and got[category].converged
+    drawn = s.sample().collect()
+    assert len({r.item for r in drawn}) == len(drawn) == 240 and s.gaps().count() == 0
+
+
+def test_gaps_come_from_the_calibration(spark, monkeypatch):
+    plans = spark.createDataFrame([(1, "body", "alpha", 0.5, 2, 0.2), (1, "body", "beta", 0.5, 2, 0.2)], PLAN)
+    plan = Sampler(questions(spark), plans, "id").gaps()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan.splitlines()[0] and "Aggregate" in plan
+    # without a step of it the tilted counts stay where they begin, and what they lack is reported
+    monkeypatch.setattr("caselens.llm.targets.STEPS", 0)
+    plans = spark.createDataFrame([(1, "body", "alpha", 0.2, 2, 0.2), (1, "body", "beta", 0.8, 2, 0.2)], PLAN)
+    assert [r.category for r in Sampler(questions(spark), plans, "id").gaps().collect()] == ["beta"]
+
+
+def test_a_gap_given_to_the_others(spark):
+    plans = spark.createDataFrame([(1, "body", "alpha", 0.5, 0, 0.5), (1, "body", "beta", 0.3, 0, 0.5), (1, "body", "gamma", 0.2, 0, 0.5)], PLAN)
+    for redistribute, size in ((False, 168), (True, 200)):
+        s = Sampler(questions(spark), plans, "id", redistribute=redistribute)
+        drawn = s.sample().count()
+        assert abs(drawn - size) <= 1 and [r.category for r in s.gaps().collect()] == ["gamma"]
+
+
 def test_tables(spark):
     plans = spark.createDataFrame([(1, "body", "alpha", 0.5, 2, 0.2)], PLAN)
     s = Sampler(questions(spark).limit(0), plans, "id")
-    assert s.sample().count() == 0 and [tuple(r) for r in s.gaps().collect()] == [(1, "alpha")]
+    assert s.sample().count() == 0 and [(r.plan_id, r.category) for r in s.gaps().collect()] == [(1, "alpha")]
     none = Sampler(questions(spark), plans.limit(0), "id")
     assert none.sample().count() == 0 and none.gaps().count() == 0 and none.report().count() == 0
 
