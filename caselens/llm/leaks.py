@@ -40,7 +40,7 @@ FOLLOWED, ALIKE, OTHER, SURE, LEAST_ODDS, SPARSE = 0.77, -6.0, 1.5, 0.03, 5.0, 0
 DRIFT, GAP = 3, 6
 #: Phrases of a stretch whose lists are met first; phrases that must meet at one offset; tokens in ``LEAST_WORDS`` in a row that
 #: must then be found there, and their share of what these tokens weigh that sister questions lack.
-RAREST, LEAST_MET, LEAST_NEAR, LEAST_OWN = 12, 3, 12, 0.6
+RAREST, LEAST_MET, LEAST_NEAR, LEAST_OWN = 12, 4, 12, 0.6
 
 
 
@@ -263,21 +263,18 @@ def _lists(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def phrases(items: Items, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
     """The phrases of two item terms next to each other or with one word between, met in all documents of a segment at once:
     length of each phrase's list, and the lists, one after another."""
-    words = slice(0, seg.first[-1])  # all lists but that of the numbers, whose places are others' too
-    order = np.argsort(seg.place[words], kind="stable")
-    place, term = seg.place[words][order], seg.term[words][order]
     code, at = [], []
-    for step, apart in ((1, 1), (1, 2), (2, 2)):  # with a word of no item between, two apart stand next to each other
-        ok = place[step:] - place[:-step] == apart
-        code.append((term[:-step][ok] * len(items.vocabulary) + term[step:][ok]) * 2 + apart - 1)
-        at.append(place[:-step][ok])
+    for apart in (1, 2):
+        p = np.flatnonzero((seg.at[:-apart] >= 0) & (seg.at[apart:] >= 0))
+        code.append((seg.at[p].astype(np.int64) * len(items.vocabulary) + seg.at[p + apart]) * 2 + apart - 1)
+        at.append(p)
     code, at = np.concatenate(code), np.concatenate(at)
     if not len(items.phrase):
         return np.zeros(0, np.int64), at[:0]
     which = np.minimum(np.searchsorted(items.phrase, code), len(items.phrase) - 1)
     known = items.phrase[which] == code
     which, at = which[known], at[known]
-    return np.bincount(which, minlength=len(items.phrase)), at[np.lexsort((at, which))]
+    return np.bincount(which, minlength=len(items.phrase)), at[np.argsort(which, kind="stable")]
 
 
 def rarest(items: Items, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,10 +349,14 @@ def _met(items: Items, seg: Segment, pair: np.ndarray, early: np.ndarray, late:
     n = b - a
     at, run = _lists(a, n), np.repeat(np.arange(len(pair)), n)
     place, term = items.place[at], items.term[at]
-    start, end = np.maximum(seg.starts[doc][run], seg.starts[doc][run] + early[run] - 1 + place), np.minimum(seg.starts[doc + 1][run] - 1, seg.starts[doc][run] + late[run] + 1 + place)
-    total = int(seg.starts[-1]) + 1
-    where = np.searchsorted(seg.key, term * total + start)
-    hit = (start <= end) & (np.append(seg.key, np.iinfo(np.int64).max)[where] <= term * total + end)
+    start, end = seg.starts[doc][run], seg.starts[doc + 1][run]
+    hit = np.zeros(len(at), bool)
+    first = start + early[run] + place - 1
+    width = late - early + 3
+    for k in range(int(width.max())):  # the places next to where the token would stand; runs of offsets are short
+        g = first + k
+        some = np.flatnonzero((g >= start) & (g < end) & (k < width[run]))
+        hit[some] |= seg.at[g[some]] == term[some]
     pairs, which = np.unique(pair, return_inverse=True)
     n = np.diff(items.starts)[pairs % len(items.ids)]
     ends = np.cumsum(n)
@@ -372,21 +373,12 @@ def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int]]:
     pairs = candidates(items, seg)
     if not len(pairs):
         return []
-    # the searched words of the documents in question, in their order
-    asked = np.unique(pairs[:, 0])
-    kept = np.zeros(len(seg.docs), bool)
-    kept[asked] = True
-    words, number = seg.place[: seg.first[-1]], seg.place[seg.first[-1] :]
-    kept = np.flatnonzero(kept[np.searchsorted(seg.starts, words, "right") - 1])
-    where, term = words[kept], seg.term[kept]
-    order = np.argsort(where, kind="stable")
-    where, term = where[order], term[order]
-    ends = [seg.starts[asked], seg.starts[asked + 1]]
-    of = {x[0]: x[1:] for x in zip(asked.tolist(), *np.searchsorted(where, ends).tolist(), *np.searchsorted(number, ends).tolist())}
-    out = []
+    out, last = [], -1
     for d, i in pairs.tolist():
-        a, b, y, z = of[d]
-        t, p, digits = term[a:b], where[a:b] - seg.starts[d], number[y:z] - seg.starts[d]
+        if d != last:  # the searched words of the document and its numbers, with their places
+            a, b, last = int(seg.starts[d]), int(seg.starts[d + 1]), d
+            p = np.flatnonzero(seg.at[a:b] >= 0)
+            t, digits = seg.at[a:b][p], seg.numbers[slice(*np.searchsorted(seg.numbers, [a, b]))] - a
         order, words = items.sorted[i]
         lo, hi = np.searchsorted(words, t, "left"), np.searchsorted(words, t, "right")
         n = hi - lo

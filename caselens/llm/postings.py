@@ -167,7 +167,7 @@ def build_index(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Segment:
-    """A segment's documents, and the lists of the searched terms by their numbers."""
+    """A segment's documents, and the lists of the searched terms by their numbers, ``NUMBERS`` last."""
 
     docs: pa.Array
     starts: np.ndarray  # first place of each document, and the end
@@ -176,8 +176,10 @@ class Segment:
     place: np.ndarray
 
     def __post_init__(self) -> None:
-        self.term = np.repeat(np.arange(len(self.size)), self.size)
-        self.key = self.term * (int(self.starts[-1]) + 1) + self.place  # in order: one search finds a place in any list
+        words = slice(0, self.first[-1])  # the last list is that of the numbers, whose places are others' too
+        self.numbers = self.place[self.first[-1] :]
+        self.at = np.full(int(self.starts[-1]), -1, np.int32)  # the searched term at each place, by which lists meet at once
+        self.at[self.place[words]] = np.repeat(np.arange(len(self.size)), self.size)[words]
 
 
 def _put_together(head: pa.RecordBatch, rows: list[pa.RecordBatch], number: dict[str, int]) -> Segment:
