@@ -28,7 +28,7 @@ MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
 #: and in each.
 LEAST_WORDS, LEAST_IN_ALL, LEAST_OF_SEVERAL = 18, 22, 8
 #: Matches that must agree with each other, and the share of a run's tokens that must match.
-LEAST_RUN, TOKEN_SHARE = 5, 0.6
+LEAST_RUN, LEAST_EVEN, TOKEN_SHARE = 5, 3, 0.6
 #: The share of a run's weight that must match: of a run over several sentences, shorter and longer than ``LONG`` words, of one
 #: of whose weight a single sentence has more than ``IN_ONE``, and of each of several runs. MISSED: see ``_best_part``.
 LONG, SHORT_SHARE, LONG_SHARE, ONE_SENTENCE, IN_ONE, OF_SEVERAL, MISSED = 26, 0.88, 0.82, 0.96, 0.72, 0.95, 2.5
@@ -137,7 +137,8 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """The stretches of an item of ``size`` tokens that a document follows, each as the places matched.
 
     ``place`` and ``at`` are the matches: places in the item and in the document. A match counts where at least
-    ``LEAST_RUN`` agree with it, itself among them: near in the item, and at an offset that drifts little.
+    ``LEAST_RUN`` agree with it, itself among them: near in the item, and at an offset that drifts little; ``LEAST_EVEN`` of
+    them at the very same offset, as a word that a sister question has in another slot nearby is alone with its own.
     """
     off = at - place
     order = np.argsort(off, kind="stable")
@@ -150,8 +151,8 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     for a in range(0, len(off), 512):  # offsets are in order: only neighbours need be compared
         lo, hi = np.searchsorted(off, off[a] - DRIFT, "left"), np.searchsorted(off, off[min(a + 511, len(off) - 1)] + DRIFT, "right")
         p, o = place[a : a + 512], off[a : a + 512]
-        near = (np.abs(o[:, None] - off[None, lo:hi]) <= DRIFT) & (np.abs(p[:, None] - place[None, lo:hi]) <= 2 * GAP)
-        hit[p[near.sum(1) >= LEAST_RUN]] = True
+        near, apart = np.abs(p[:, None] - place[None, lo:hi]) <= 2 * GAP, np.abs(o[:, None] - off[None, lo:hi])
+        hit[p[((near & (apart <= DRIFT)).sum(1) >= LEAST_RUN) & ((near & (apart == 0)).sum(1) >= LEAST_EVEN)]] = True
     where = np.flatnonzero(hit)
     return np.split(where, np.flatnonzero(np.diff(where) > GAP) + 1) if len(where) else []
 
