@@ -1,9 +1,10 @@
 """Mapping freely typed values to the entries of a reference list (problem 4).
 
-Distinct values are normalised; an inverted index of character n-grams over the list's names and short forms gives
-the candidates, scored by the cosine of inverse-frequency weights; those above the threshold are checked word by
-word, from the best down, and the first that the value holds whole is taken unless another that it holds as well
-comes within the margin and does not lie inside the first.
+Distinct values are normalised to words. An inverted index of character n-grams over the list's words gives the words that
+a typed one may stand for, each with its agreement from 0 to 1; an inverted index of the list's words gives the candidate
+entries of a value, scored by the weighted cosine of words in which words that agree count as one by their agreement.
+A candidate is accepted where the part of its own weight that the value holds is above the threshold, and the best by cosine
+where it leads by the margin over others that are accepted and do not lie inside it.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ from caselens.session import checkpointed
 
 #: The list is broadcast; a longer one is refused.
 MAX_LIST_ROWS = 200_000
-#: Least weighted cosine of a candidate, and the lead it must have over another that passes the check.
-THRESHOLD, MARGIN = 0.30, 0.02
-GRAM = 3
+#: Least part of an entry's weight that a value must hold, less MISSING a word of the entry that it lacks; and the lead that the
+#: best cosine must have over that of another accepted entry.
+THRESHOLD, MISSING, MARGIN = 0.87, 0.1, 0.02
+#: Length of n-grams, and least weighted cosine of n-grams of two words that are compared letter by letter.
+GRAM, ALIKE, SHORT = 2, 0.2, 6
+#: Agreement of a word with its plural, with what it is cut short from, and what each edit takes off.
+PLURAL, CUT, EDIT = 0.99, 0.92, 0.04
 #: Words whose meaning a worker remembers; at the bound the memory starts anew.
 CACHE_WORDS = 300_000
 _FOLD = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ß": "ss", "ł": "l", "đ": "d", "ı": "i"})
@@ -92,145 +97,152 @@ def _forms(key: str) -> set[str]:
     return {re.sub(r"(\D)\1+", r"\1", w) for w in out}
 
 
-def _letters(word: str) -> list[int]:
-    """How often each letter occurs, whatever else in the last place."""
-    out = [0] * 27
-    for c in word:
-        out[min(26, ord(c) - 97) if c >= "a" else 26] += 1
-    return out
+class Grams:
+    """Words by their character n-grams: an inverted index whose lists are added up from the rarest n-gram on."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        post: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            for g in self.of(w):
+                post[g].append(i)
+        n = max(1, len(words))
+        self.weight = {g: float(np.log(1 + n / len(p))) ** 2 for g, p in post.items()}
+        self.post = dict(post)
+        self.norm = [sum(self.weight[g] for g in self.of(w)) ** 0.5 for w in words]
+
+    @staticmethod
+    def of(word: str) -> set[str]:
+        """The n-grams of a word; of a short one its letters too, as neighbours that changed places leave few n-grams."""
+        padded = f"#{word}#"
+        return {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)} | (set(word) if len(word) <= SHORT else set())
+
+    def near(self, word: str) -> list[str]:
+        """The words whose weighted cosine with ``word`` is at least ``ALIKE``.
+
+        A word first met when the n-grams left weigh too little to bring it there is not taken up: sums over a word's own
+        n-grams can't exceed what is left, so nothing is lost.
+        """
+        grams = sorted((g for g in self.of(word) if g in self.post), key=lambda g: len(self.post[g]))
+        left = size = sum(self.weight[g] for g in grams) or 1.0
+        least = min(self.norm, default=1.0) * size**0.5 * ALIKE
+        score: dict[int, float] = {}
+        for g in grams:
+            w = self.weight[g]
+            if left >= least:
+                for i in self.post[g]:
+                    score[i] = score.get(i, 0.0) + w
+            else:
+                for i in self.post[g]:
+                    if i in score:
+                        score[i] += w
+            left -= w
+        return [self.words[i] for i, x in score.items() if x >= ALIKE * self.norm[i] * size**0.5]
 
 
 class Index:
-    """N-gram postings and words of a reference list."""
+    """The words of a reference list by n-grams, and its entries by words."""
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]):
         self.ids: list[int] = []
-        self.words: list[list[str]] = []  # keys of the name's words; of a short form itself
-        self.short: list[bool] = []
+        self.words: list[list[str]] = []
         self.joined: dict[str, list[str]] = {}  # hyphened words written as one
+        self.short: dict[str, list[int]] = defaultdict(list)
         for ref_id, name, short in rows:
             for text, is_short in ((name, False), (short, True)):
                 words = [k for _, k, _ in tokens(text or "")]
                 if ref_id is not None and words:
+                    if is_short:
+                        self.short[short.replace(".", "").strip().lower()].append(len(self.ids))
                     self.ids.append(ref_id)
-                    self.words.append(words if not is_short else [(short or "").replace(".", "").strip().lower()])
-                    self.short.append(is_short)
+                    self.words.append([] if is_short else words)
                     for pair in re.findall(r"([^\W\d_]+)-([^\W\d_]+)", text):
                         self.joined["".join(map(word_key, pair))] = [word_key(w) for w in pair]
-        self.vocabulary = {w for ws, s in zip(self.words, self.short) if not s for w in ws}
-        self.plain = {f for w in self.vocabulary for f in _forms(w)}
-        self.sorted_words = sorted(self.vocabulary)
-        self.letters = np.array([_letters(w) for w in self.sorted_words], dtype=np.int16).reshape(-1, 27)
-        grams = [self.grams(ws) for ws in self.words]
-        df: dict[str, int] = defaultdict(int)
-        for g in grams:
-            for x in g:
-                df[x] += 1
-        n = max(1, len(grams))
-        self.idf = {g: float(np.log(1 + n / c)) for g, c in df.items()}
-        post: dict[str, list[int]] = defaultdict(list)
-        norm = np.zeros(n)
-        for i, g in enumerate(grams):
-            for x in g:
-                post[x].append(i)
-                norm[i] += self.idf[x] ** 2
-        self.post = {g: np.array(p, dtype=np.int32) for g, p in post.items()}
-        self.norm = np.sqrt(np.maximum(norm, 1e-12))
-        self._near: dict[tuple[str, bool], frozenset[str]] = {}
-
-    @staticmethod
-    def grams(words: list[str]) -> set[str]:
-        """N-grams within words, so that their order does not matter."""
-        return {p[i : i + GRAM] for w in words for p in (f"#{w}#",) for i in range(max(1, len(p) - GRAM + 1))}
-
-    def candidates(self, words: list[str]) -> list[tuple[float, int]]:
-        """(cosine, entry) above the threshold, best first."""
-        score, size = np.zeros(len(self.ids)), 0.0
-        for g in self.grams(words):
-            w = self.idf.get(g)
-            if w is not None:
-                score[self.post[g]] += w * w
-                size += w * w
-        if not size:
-            return []
-        score /= self.norm * np.sqrt(size)
-        kept = np.flatnonzero(score >= THRESHOLD)
-        return sorted(((float(score[i]), int(i)) for i in kept), key=lambda x: (-x[0], x[1]))
-
-    def meant(self, key: str, cut: bool, typed_length: int) -> frozenset[str]:
-        """The list's words that a typed word may be: itself or its plural; else what begins so if it is cut short;
-        else the nearest by edits, all of equally near ones."""
-        hit = self._near.get((key, cut))
+        self.post: dict[str, list[tuple[int, int]]] = defaultdict(list)  # word to entries, and its place in them
+        for i, ws in enumerate(self.words):
+            for k, w in enumerate(ws):
+                self.post[w].append((i, k))
+        self.plain: dict[str, list[str]] = defaultdict(list)
+        for w in self.post:
+            for form in _forms(w):
+                self.plain[form].append(w)
+        # a word weighs between 1 and 2, more the fewer entries have it
+        n = max(2, len(self.ids))
+        self.weight = {w: 1 + float(np.log(n / len(p)) / np.log(n)) for w, p in self.post.items()}
+        self.size = [sum(self.weight[w] for w in ws) for ws in self.words]
+        self.grams = Grams(sorted(self.post))
+        self._known: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+
+    def stands_for(self, key: str, cut: bool, typed_length: int) -> list[tuple[str, float]]:
+        """The list's words that a typed word may stand for, with their agreement."""
+        hit = self._known.get((key, cut))
         if hit is None:
-            if len(self._near) > CACHE_WORDS:
-                self._near.clear()
-            hit = self._near[key, cut] = frozenset(self._meant(key, cut, typed_length))
+            if len(self._known) > CACHE_WORDS:
+                self._known.clear()
+            hit = self._known[key, cut] = self._stands_for(key, cut, typed_length)
         return hit
 
-    def _meant(self, key: str, cut: bool, typed_length: int) -> set[str]:
-        if key in self.vocabulary:
-            return {key}
+    def _stands_for(self, key: str, cut: bool, typed_length: int) -> list[tuple[str, float]]:
+        if key in self.post:
+            return [(key, 1.0)]
         if key in self.plain:
-            return {w for w in self.vocabulary if key in _forms(w)}
+            return [(w, PLURAL) for w in self.plain[key]]
         if key[-1:].isdigit():
-            return set()
-        begins = {w for w in self.vocabulary if len(key) >= (2 if cut else 3) and w.startswith(key)}
+            return []
+        near = self.grams.near(key)
+        begins = [w for w in near if len(key) >= (2 if cut else 3) and w.startswith(key)]
         if cut and begins:
-            return begins
+            return [(w, CUT) for w in begins]
         size = max(len(key), typed_length)
         most = 0 if size < 3 else 1 if size < 6 else 2 if size < 10 else 3
-        # no word can be nearer than the letters that one has and the other lacks; plurals add up to two
-        gap = self.letters - np.array(_letters(key), dtype=np.int16)
-        bound = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1) - 2)
-        best, least = set(), most + 1
-        for i in np.flatnonzero(bound <= most):
-            w = self.sorted_words[i]
+        best: list[str] = []
+        least = most + 1
+        for w in near:
             d = min(within(f, key, least) for f in (w, w + "s", w + "es"))
             if d < least:
-                best, least = {w}, d
+                best, least = [w], d
             elif d == least and d <= most:
-                best.add(w)
+                best.append(w)
         if best and (least == 1 or not begins):
-            return best
+            return [(w, 1 - EDIT * least) for w in best]
         if begins:
-            return best | begins
-        # a typing error in a word cut short
-        if len(key) >= 5:
-            return {w for w in self.vocabulary if len(w) > len(key) and w[0] == key[0] and within(w[: len(key)], key, 1) <= 1}
-        return set()
-
-    def holds(self, typed: list[tuple[str, str, bool]], entry: int) -> bool:
-        """Whether the value has every word of the entry, each from a word of its own."""
-        if self.short[entry]:
-            want = self.words[entry][0]
-            for raw, _, _ in typed:
-                if raw.lower() == want:
-                    return True
-            return False
-        free = list(range(len(typed)))
-        for word in self.words[entry]:
-            exact = next((i for i in free if typed[i][1] == word), None)
-            at = exact if exact is not None else next((i for i in free if word in self.meant(typed[i][1], typed[i][2] or i == len(typed) - 1, len(typed[i][0]))), None)
-            if at is None:
-                return False
-            free.remove(at)
-        return True
+            return [(w, CUT) for w in begins] + [(w, 1 - EDIT * least) for w in best if w not in begins]
+        if len(key) >= 5:  # a typing error in a word cut short
+            return [(w, CUT - EDIT) for w in near if len(w) > len(key) and w[0] == key[0] and within(w[: len(key)], key, 1) <= 1]
+        return []
 
     def lookup(self, value: str) -> tuple[int, float]:
-        """(ref_id, score) of the entry a value names; ref_id 0 for none."""
+        """(ref_id, score) of the entry a value names; ref_id 0 for none, with the score of the best candidate."""
         typed = [x for raw, key, cut in tokens(value) for x in ([(k, k, False) for k in self.joined[key]] if key in self.joined else [(raw, key, cut)])]
-        words = [k for _, k, _ in typed] + [r.lower() for r, _, _ in typed if 2 < len(r) < 8]
-        ranked = self.candidates(words)
-        passed = [(s, i) for s, i in ranked if self.holds(typed, i)]
-        if not passed:
-            return 0, ranked[0][0] if ranked else 0.0
-        # a longer name holds a shorter one that it contains
-        passed.sort(key=lambda x: (-len(self.words[x[1]]), -x[0], x[1]))
-        top = passed[0]
-        for s, i in passed[1:]:
-            if self.ids[i] != self.ids[top[1]] and not set(self.words[i]) <= set(self.words[top[1]]) and len(self.words[i]) == len(self.words[top[1]]) and top[0] - s < MARGIN:
-                return 0, top[0]
-        return self.ids[top[1]], top[0]
+        met: dict[int, list[tuple[float, int, int]]] = defaultdict(list)
+        held: dict[int, float] = {}
+        for at, (raw, key, cut) in enumerate(typed):
+            for word, agree in self.stands_for(key, cut or at == len(typed) - 1, len(raw)):
+                for entry, place in self.post[word]:
+                    met[entry].append((-agree, at, place))
+            for entry in self.short.get(raw.lower(), ()):
+                held[entry] = 1.0
+        scored = [(1.0, 1.0, e) for e in held]  # (cosine, part held, entry); the value's own length is the same for all
+        for entry, pairs in met.items():
+            words, used, placed, total = self.words[entry], set(), set(), 0.0
+            for agree, at, place in sorted(pairs):  # a typed word counts for one word of the entry
+                if at not in used and place not in placed:
+                    used.add(at)
+                    placed.add(place)
+                    total -= agree * self.weight[words[place]]
+            part = total / self.size[entry] - MISSING * (len(words) - len(placed))
+            scored.append((total / self.size[entry] ** 0.5, part, entry))
+        accepted = sorted((-cosine, e, part) for cosine, part, e in scored if part >= THRESHOLD)
+        if not accepted:
+            return 0, max((part for _, part, _ in scored), default=0.0)
+        cosine, top, part = accepted[0]
+        own = set(self.words[top])
+        for other, e, _ in accepted[1:]:
+            if other - cosine >= MARGIN:
+                break
+            if self.ids[e] != self.ids[top] and not (self.words[e] and set(self.words[e]) <= own):
+                return 0, part
+        return self.ids[top], part
 
 
 #: The index a worker has built, by the mark of the call it belongs to.
@@ -251,7 +263,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, key_cols: list[str], va
     sent, mark = values.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     at = values.select(*key_cols, F.col(value_col).cast("string").alias("__v")).where(F.length(F.regexp_replace("__v", r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]", "")) > 0)
     at = at.withColumn("__h", F.md5("__v"))
-    each = at.groupBy("__h").agg(F.first("__v").alias("__v"))
+    each = at.groupBy("__h").agg(F.first("__v").alias("__v"), F.count("*").alias("__n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if mark not in _worker:
@@ -260,8 +272,8 @@ def map_to_list(values: DataFrame, reference: DataFrame, key_cols: list[str], va
         find = _worker[mark].lookup
         for f in frames:
             got = [find(v) for v in f["__v"]]
-            yield pd.DataFrame({"__h": f["__h"], "ref_id": [g[0] for g in got], "score": [round(g[1], 6) for g in got]})
+            yield pd.DataFrame({"__h": f["__h"], "__n": f["__n"], "ref_id": [g[0] for g in got], "score": [round(g[1], 6) for g in got]})
 
     # written once: the join reads it for the common values and again for the rest
-    found = checkpointed(each.mapInPandas(run, "__h string, ref_id long, score double"))
-    return join_unique(at.drop("__v"), found, "__h").drop("__h")
+    found = checkpointed(each.mapInPandas(run, "__h string, __n long, ref_id long, score double"))
+    return join_unique(at.drop("__v"), found.drop("__n"), "__h", counts=found.select("__h", F.col("__n").alias("n"))).drop("__h")

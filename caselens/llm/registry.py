@@ -80,7 +80,7 @@ def _typed_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = table(spark, sf_dir, "medxpertqa_mm_2000").select("id", F.explode("options").alias("letter", "value"))
     options = options.select(F.lit("medxpertqa_mm_2000.options").alias("field_name"), F.concat("id", F.lit(":"), "letter").alias("rec_key"), "value")
     both = cases.select("field_name", "rec_key", "value").unionByName(options)
-    return both.where("value is not null").distinct().groupBy("field_name", "rec_key").agg(F.max("value").alias("value"))
+    return both.where("value is not null").groupBy("field_name", "rec_key").agg(F.max("value").alias("value"))
 
 
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-from caselens.llm.canonical import Index, map_to_list, within
+import random
+
+from caselens.llm.canonical import ALIKE, Grams, Index, map_to_list, within
 
 LIST = [(1, "hemorrhagic jejunal lymphoma", None), (2, "occlusive meningeal fistula", "OMFI"), (3, "Sabunevik anomaly type 2", None), (4, "spindle-cell hepatic edema", "SHED"), (5, "Yorabonte tumor", None), (6, "occlusive meningeal infarction", None), (7, "Sabunevik anomaly type 1", None)]
 
@@ -16,6 +18,29 @@ def test_values():
         assert index.lookup(value)[0] == want, value
 
 
+def test_scores_part_the_named_from_the_rest():
+    index = Index(LIST)
+    scores = [(index.lookup(value)[1], want) for value, want in VALUES]
+    assert min(s for s, want in scores if want) >= 0.9 and max(s for s, want in scores if not want) <= 0.7
+    # two entries that a value holds equally well, and one inside the other
+    assert Index([(1, "renal cyst", None), (2, "renal stone", None)]).lookup("renal cyst or renal stone")[0] == 0
+    assert Index([(1, "renal cyst", None), (2, "infected renal cyst", None)]).lookup("an infected renal cyst")[0] == 2
+
+
+def test_ngram_search_against_brute_force():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdeno") for _ in range(rng.randint(2, 11))) for _ in range(400)})
+    grams = Grams(words)
+    for _ in range(200):
+        w = list(rng.choice(words))
+        w[rng.randrange(len(w))] = rng.choice("abcdenox")
+        word = "".join(w)
+        own = {g for g in Grams.of(word) if g in grams.post}
+        size = sum(grams.weight[g] for g in own) ** 0.5 or 1.0
+        want = {x for x, n in zip(words, grams.norm) if sum(grams.weight[g] for g in own & Grams.of(x)) >= ALIKE * n * size}
+        assert set(grams.near(word)) == want
+
+
 def test_edit_distance():
     assert [within(a, b, 3) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "abd"), ("abc", "ab"), ("abcdef", "x"))] == [0, 1, 1, 1, 4]
 
