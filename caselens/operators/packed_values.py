@@ -3,7 +3,8 @@
 A field is read into a lattice: quoted spans and JSON strings are atoms, list marks, line ends, semicolons and the
 like are firm borders, and commas, slashes and connecting words are places where a value may end. Which of them do
 is learned from the whole column by expectation maximisation: the frequencies of values, the lengths of values
-and how often each kind of place lies inside a value. The likeliest path (Viterbi) gives the values.
+and how often each kind of place lies inside a value. The likeliest path (Viterbi) gives the values. Stretches of any
+number of atoms may be a value, up to the length of the longest value that stands whole somewhere in the column.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,11 +35,12 @@ _WORD = re.compile(r"[^\s,;/|-]+")
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
 _EDGE = " \t\r\n\x0b\f\xa0\u2002\u2003\u2009\u200b\u3000\ufeff;,|/"
 _CONNECT = re.compile(r"^(?:(?:and/or|and|or|vs\.?|versus)\s+)+|(?:\s+(?:and/or|and|or|vs\.?|versus))+$", re.I)
-#: Values are joined across at most so many places in the lattice.
-MAX_JOINED = 3
+#: A field whose likeliest reading has this chance is settled; rounds go on with the others until no chance of theirs changes by
+#: more than CLOSE, or for so many rounds.
+SETTLED, CLOSE, ROUNDS = 0.999, 0.01, 30
 #: Weight of the base distribution over values not seen before, and its chance of a word.
 NEW_VALUE, NEW_WORD = 0.3, 1e-4
-KINDS = ("comma", "slash", "word")
+KINDS = {"comma": "c", "slash": "s", "word": "w"}
 
 
 def _clean(raw: str) -> str:
@@ -148,18 +152,19 @@ def is_open(groups: list) -> bool:
     return any(len(g[0]) > 1 for g in groups)
 
 
-def segments(group: tuple[list[str], list[str], list[str]]) -> list[tuple[int, int, str]]:
-    """(first atom, end, value) of every stretch of a group that may be a value. Quoted atoms are never joined."""
+def segments(group: tuple[list[str], list[str], list[str]], longest: int) -> list[tuple[int, int, str]]:
+    """(first atom, end, value) of every stretch of a group that may be a value: each atom, and all joined ones of at most
+    ``longest`` words. Quoted atoms are never joined."""
     atoms, places, _ = group
     firm = [a.strip()[:1] in _QUOTES for a in atoms]
     out = []
     for i in range(len(atoms)):
         raw = atoms[i]
         out.append((i, i + 1, _clean(raw)))
-        for j in range(i + 1, min(len(atoms), i + MAX_JOINED)):
-            if firm[i] or firm[j]:
-                break
+        for j in range(i + 1, len(atoms)):
             raw += places[j - 1] + atoms[j]
+            if firm[i] or firm[j] or _words(raw) > longest:
+                break
             out.append((i, j + 1, _clean(raw)))
     return out
 
@@ -172,25 +177,15 @@ class Model:
         n = sum(lengths.values()) + 20.0
         self.lengths = {k: (lengths.get(k, 0.0) + 1.0) / n for k in range(1, 21)}
 
-    def score(self, value: str, count: float, kinds: list[str]) -> float:
-        """Log chance of a value; ``count`` leaves out what the field itself contributed."""
-        words = min(20, max(1, _words(value)))
+    def score(self, words: int, count: float, inside: str) -> float:
+        """Log chance of a value of so many words across the places ``inside``; ``count`` leaves out what the field itself contributed."""
+        words = min(20, max(1, words))
         p = (1 - NEW_VALUE) * max(0.0, count) / self.total + NEW_VALUE * self.lengths[words] * NEW_WORD**words
-        return math.log(p) + sum(math.log(self.inner[k]) for k in kinds)
+        return math.log(p) + sum(math.log(self.inner[k]) for k in inside)
 
 
-def _scored(group, counts: Iterator[float], own: Iterator[float], model: Model) -> list[tuple[int, int, str, float]]:
-    kinds, out = group[2], []
-    for a, b, value in segments(group):
-        s = model.score(value, next(counts) - next(own), kinds[a : b - 1])
-        if a:
-            s += math.log(1 - model.inner[kinds[a - 1]])
-        out.append((a, b, value, s))
-    return out
-
-
-def posteriors(scored: list[tuple[int, int, str, float]], size: int) -> list[float]:
-    """The chance of each stretch to be a value, by the forward and backward sums over the lattice."""
+def posteriors(scored: list[tuple[int, int, float]], size: int) -> list[float]:
+    """The chance of each stretch (first atom, end, log chance) to be a value, by the forward and backward sums over the lattice."""
     low = float("-inf")
 
     def add(x: float, y: float) -> float:
@@ -198,17 +193,17 @@ def posteriors(scored: list[tuple[int, int, str, float]], size: int) -> list[flo
         return m if m == low else m + math.log(math.exp(x - m) + math.exp(y - m))
 
     fore, back = [0.0] + [low] * size, [low] * size + [0.0]
-    for a, b, _, s in scored:
+    for a, b, s in scored:
         fore[b] = add(fore[b], fore[a] + s)
-    for a, b, _, s in reversed(scored):
+    for a, b, s in reversed(scored):
         back[a] = add(back[a], back[b] + s)
-    return [math.exp(fore[a] + s + back[b] - fore[size]) for a, b, _, s in scored]
+    return [math.exp(fore[a] + s + back[b] - fore[size]) for a, b, s in scored]
 
 
-def best_path(scored: list[tuple[int, int, str, float]], size: int) -> list[tuple[int, int]]:
+def best_path(scored: list[tuple[int, int, float]], size: int) -> list[tuple[int, int]]:
     """Viterbi; of equally likely paths the one with more values."""
     best: list[tuple[float, int, int] | None] = [(0.0, 0, 0)] + [None] * size
-    for a, b, _, s in scored:
+    for a, b, s in scored:
         if best[a] is not None:
             now = (best[a][0] + s, best[a][1] + 1, a)
             if best[b] is None or now[:2] > best[b][:2]:
@@ -228,87 +223,126 @@ def _value_key(value: str) -> str:
     return " ".join(value.lower().split())
 
 
-def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "dx_value", rounds: int = 3, model_out: dict | None = None) -> DataFrame:
+def _groups(segs: list, model: Model) -> Iterator[tuple[list, list[tuple[int, int, float]]]]:
+    """The rows of each open group of a field with the log chance of each; rows are sorted by group, first atom and end."""
+    for _, rows in groupby(segs, key=lambda x: x["g"]):
+        rows = list(rows)
+        scored = []
+        for x in rows:
+            s = model.score(x["words"], x["c"] - x["e"], x["inside"])
+            if x["before"]:
+                s += math.log(1 - model.inner[x["before"]])
+            scored.append((x["a"], x["b"], s))
+        yield rows, scored
+
+
+def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "dx_value", model_out: dict | None = None) -> DataFrame:
     """``key_col``, pos from 1, ``value_col``: the values packed in a field, as typed.
 
     One field counts a key: repeated rows once, of different ones the greatest. Null, blank and filler fields give
     no row; empty parts and fillers no row and no position. A null key is a key. A value twice in a field gives
-    two rows. Other columns are not read. Learning covers every distinct field of the column; fields of one
-    certain reading are counted, not learned from. Value counts are joined by a hash of the value, with hot
-    values apart, so no value gathers in one task.
+    two rows. Other columns are not read. Learning covers the whole column: every distinct field once, with the number of keys that
+    hold it as its weight; groups of one certain reading are counted, not learned from. Each round re-estimates the fields that are
+    not settled, until none of their chances changes; the last pass reads all fields by what was learned. Value counts are
+    joined by a hash of the value, with hot values apart, so no value gathers in one task. ``model_out`` is given what was learned,
+    the rounds and whether they came to an end.
     """
-    spark = df.sparkSession
     cells = df.select(df[key_col].alias("k"), df[text_col].cast("string").alias("t")).where("t is not null").groupBy("k").agg(F.max("t").alias("t"))
-    cells = cells.withColumn("sid", F.md5("t"))
+    cells = checkpointed(cells.withColumn("sid", F.md5("t")))
     fields = cells.groupBy("sid").agg(F.first("t").alias("t"), F.count("*").alias("w"))
 
-    def first_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # every reading of a lattice alike at first: a stretch of one atom is likelier than a joined one
+    def certain_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # values that stand whole, a row each; and a row with the text of every field that is open somewhere
         for f in frames:
             rows = []
-            for sid, text in zip(f["sid"], f["t"]):
+            for sid, text, w in zip(f["sid"], f["t"], f["w"]):
                 groups = lattice(text)
-                n = 0
-                for g in groups:
-                    if len(g[0]) == 1:
-                        v = _clean(g[0][0]) if len(groups) else ""
-                        rows.append((sid, -1, _value_key(v), 1.0, _words(v)))
-                    else:
-                        for a, b, v in segments(g):
-                            rows.append((sid, n, _value_key(v), 1.0 if b == a + 1 else 0.1, _words(v)))
-                            n += 1
-            yield pd.DataFrame(rows, columns=["sid", "seg", "v", "e", "words"])
-
-    parsed = fields.mapInPandas(first_counts, "sid string, seg int, v string, e double, words int").withColumn("v", F.xxhash64("v"))
-    parsed = checkpointed(parsed)
-    certain, open_ = parsed.where("seg < 0"), parsed.where("seg >= 0").select("sid", "seg", "v", "e", "words")
-    open_fields = fields.join(open_.select("sid").distinct(), "sid", "left_semi").select("sid", "t")
-    fixed = certain.groupBy("v").agg(F.sum("e").alias("c"))
-    fixed_lengths = {r["words"]: r["n"] for r in certain.groupBy(F.least("words", F.lit(20)).alias("words")).agg(F.sum("e").alias("n")).collect()}
-    inner = dict.fromkeys(KINDS, 0.05)
-    path: DataFrame | None = None
-    for step in range(rounds + 1):
-        counts = fixed.unionByName(open_.groupBy("v").agg(F.sum("e").alias("c"))).groupBy("v").agg(F.sum("c").alias("c"))
-        got = open_.groupBy(F.least("words", F.lit(20)).alias("words")).agg(F.sum("e").alias("n")).collect()
-        lengths = dict(fixed_lengths)
-        for r in got:
-            lengths[r["words"]] = lengths.get(r["words"], 0.0) + r["n"]
-        model = Model(sum(lengths.values()), lengths, dict(inner))
-        if model_out is not None:
-            model_out.update(total=model.total, lengths=model.lengths, inner=model.inner)
-        known = join_unique(open_, counts, "v")
-        per_field = known.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("seg", "c", "e"))).alias("s")).join(open_fields, "sid")
-        last = step == rounds
-
-        def expect(frames: Iterator[pd.DataFrame], model=model, last=last) -> Iterator[pd.DataFrame]:
+                rows += [(None, None, _value_key(v := _clean(g[0][0])), w, _words(v)) for g in groups if len(g[0]) == 1]
+                if is_open(groups):
+                    rows.append((sid, text, None, w, max(_words(_clean(x)) for g in groups for x in g[0])))
+            yield pd.DataFrame(rows, columns=["sid", "t", "v", "w", "words"])
+
+    parsed = checkpointed(fields.mapInPandas(certain_values, "sid string, t string, v string, w long, words int").withColumn("v", F.xxhash64("v")))
+    certain, open_fields = parsed.where("sid is null"), parsed.where("sid is not null")
+    fixed = certain.groupBy("v").agg(F.sum("w").cast("double").alias("c"))
+    sizes = parsed.groupBy(F.col("sid").isNull().alias("known"), F.least("words", F.lit(20)).alias("words")).agg(F.sum("w").alias("n"), F.max("words").alias("longest")).collect()
+    fixed_lengths = {r["words"]: float(r["n"]) for r in sizes if r["known"]}
+    longest = max((r["longest"] for r in sizes), default=0)
+
+    def first_guess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # every reading of a lattice alike at first: a stretch of one atom is likelier than a joined one
+        for f in frames:
+            rows = []
+            for sid, text, w in zip(f["sid"], f["t"], f["w"]):
+                for n, g in enumerate(x for x in lattice(text) if len(x[0]) > 1):
+                    codes = "".join(KINDS[k] for k in g[2])
+                    for a, b, v in segments(g, longest):
+                        rows.append((sid, n, a, b, _value_key(v), (1.0 if b == a + 1 else 0.1) * w, _words(v), w, codes[a : b - 1], codes[a - 1 : a] if a else "", False, 1.0))
+            yield pd.DataFrame(rows, columns=["sid", "g", "a", "b", "v", "e", "words", "w", "inside", "before", "done", "moved"])
+
+    shape = "sid string, g int, a int, b int, v {}, e double, words int, w long, inside string, before string, done boolean, moved double"
+    guess = open_fields.mapInPandas(first_guess, shape.format("string")).withColumn("v", F.xxhash64("v"))
+    active, settled = checkpointed(guess), []
+    inner = dict.fromkeys(KINDS.values(), 0.05)
+
+    def everything() -> DataFrame:
+        return reduce(DataFrame.unionByName, [*settled, active])
+
+    def learned() -> tuple[Model, float]:
+        """The model of the present chances, and how far those not settled moved."""
+        rows = everything()
+        words = [F.sum(F.when(F.least("words", F.lit(20)) == n, F.col("e"))).alias(f"n_{n}") for n in range(1, 21)]
+        ended = [F.sum(F.when(F.col("before") == k, F.col("e"))).alias(f"at_{k}") for k in inner]
+        within = [F.sum(F.col("e") * (F.length("inside") - F.length(F.replace("inside", F.lit(k), F.lit(""))))).alias(f"in_{k}") for k in inner]
+        got = rows.agg(*words, *ended, *within, F.max(F.when(~F.col("done"), F.col("moved"))).alias("moved")).first()
+        if rounds:
+            for k in inner:
+                inside, ends = got[f"in_{k}"] or 0.0, got[f"at_{k}"] or 0.0
+                inner[k] = min(0.5, max(1e-4, (inside + 0.5) / (inside + ends + 10.0)))
+        lengths = {n: fixed_lengths.get(n, 0.0) + (got[f"n_{n}"] or 0.0) for n in range(1, 21)}
+        return Model(sum(lengths.values()), lengths, dict(inner)), got["moved"] or 0.0
+
+    def by_field(rows: DataFrame) -> DataFrame:
+        """The rows of each field with the present counts of their values."""
+        known = rows.select("v", F.lit(0.0).alias("c"), F.lit(1).alias("n"))
+        for part in (everything().select("v", "e"), fixed.select("v", "c")):
+            known = known.unionByName(part.toDF("v", "c").withColumn("n", F.lit(0)))
+        counts = known.groupBy("v").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).where("n > 0")
+        met = join_unique(rows, counts.select("v", "c"), "v", counts=counts.select("v", "n"))
+        return met.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b", "v", "e", "c", "words", "w", "inside", "before"))).alias("s"))
+
+    rounds = 0
+    now, change = learned()
+    while rounds < ROUNDS and change > CLOSE:
+
+        def expect(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             for f in frames:
                 rows = []
-                for sid, text, s in zip(f["sid"], f["t"], f["s"]):
-                    c, own, n, cuts = iter([x["c"] for x in s]), iter([x["e"] for x in s]), 0, []
-                    for g in lattice(text):
-                        if len(g[0]) == 1:
-                            continue
-                        scored = _scored(g, c, own, model)
-                        if last:
-                            cuts.append(",".join(str(b) for _, b in best_path(scored, len(g[0]))))
-                            continue
-                        for (a, b, v, _), p in zip(scored, posteriors(scored, len(g[0]))):
-                            rows.append((sid, n, _value_key(v), p, _words(v), *[p * g[2][a : b - 1].count(k) for k in KINDS], *[p * (a > 0 and g[2][a - 1] == k) for k in KINDS]))
-                            n += 1
-                    if last:
-                        rows.append((sid, "|".join(cuts)))
-                yield pd.DataFrame(rows, columns=["sid", "cuts"] if last else ["sid", "seg", "v", "e", "words", *[f"in_{k}" for k in KINDS], *[f"at_{k}" for k in KINDS]])
-
-        if last:
-            path = per_field.select("sid", "t", "s").mapInPandas(expect, "sid string, cuts string")
-            break
-        kinds = ", ".join(f"{x}_{k} double" for x in ("in", "at") for k in KINDS)
-        open_ = checkpointed(per_field.select("sid", "t", "s").mapInPandas(expect, f"sid string, seg int, v string, e double, words int, {kinds}").withColumn("v", F.xxhash64("v")))
-        sums = open_.agg(*[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for x in ("in", "at") for k in KINDS]).first()
-        for k in KINDS:
-            inside, ends = sums[f"in_{k}"] or 0.0, sums[f"at_{k}"] or 0.0
-            inner[k] = min(0.5, max(1e-4, (inside + 0.5) / (inside + ends + 10.0)))
-        open_ = open_.select("sid", "seg", "v", "e", "words")
+                for sid, s in zip(f["sid"], f["s"]):
+                    sure, moved, new = 1.0, 0.0, []
+                    for group, scored in _groups(s, now):
+                        size = max(b for _, b, _ in scored)
+                        chances = posteriors(scored, size)
+                        of = {(a, b): p for (a, b, _), p in zip(scored, chances)}
+                        sure *= min(of[x] for x in best_path(scored, size))
+                        for x, p in zip(group, chances):
+                            moved = max(moved, abs(p - x["e"] / x["w"]))
+                            new.append((sid, x["g"], x["a"], x["b"], x["v"], p * x["w"], x["words"], x["w"], x["inside"], x["before"]))
+                    rows += [(*x, sure >= SETTLED, moved) for x in new]
+                yield pd.DataFrame(rows, columns=["sid", "g", "a", "b", "v", "e", "words", "w", "inside", "before", "done", "moved"])
+
+        new = checkpointed(by_field(active).mapInPandas(expect, shape.format("long")))
+        settled.append(new.where("done"))
+        active, rounds = new.where("not done"), rounds + 1
+        now, change = learned()
+    if model_out is not None:
+        model_out.update(total=now.total, lengths=now.lengths, inner=now.inner, longest=longest, rounds=rounds, converged=change <= CLOSE)
+
+    def likeliest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"sid": f["sid"], "cuts": ["|".join(",".join(str(b) for _, b in best_path(x, max(b for _, b, _ in x))) for _, x in _groups(s, now)) for s in f["s"]]})
+
+    path = by_field(everything()).mapInPandas(likeliest, "sid string, cuts string")
 
     def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
