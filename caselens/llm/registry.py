@@ -74,6 +74,26 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item whether its pieces keep the limit and share the overlap, and the hash of the text put together from them again."""
+    at, out = limits(table(spark, sf_dir, "split_limits")), []
+    for field, items in _long_texts(spark, sf_dir):
+        if field in at:
+            most, overlap = at[field]
+            items = items.withColumn("field_name", F.lit(field)).distinct().withColumn("text_md5", F.md5("text"))
+            keys = [*_KEY, "text_md5"]
+            own = F.when(F.col("piece_no") == 1, F.col("piece_text")).otherwise(F.expr(f"substring(piece_text, {overlap + 1})"))
+            pieces = split_oversized(items, keys, "text", most, overlap).withColumn("own", own)
+            each = F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "own")))
+            whole = pieces.groupBy(*keys, "n_chars").agg(F.max(F.col("piece_end") - F.col("piece_start")).alias("longest"), each.alias("p"))
+            shared = F.forall(F.zip_with(F.slice("p", 2, F.size("p")), F.slice("p", 1, F.size("p")), lambda b, a: F.coalesce(a["piece_end"] - b["piece_start"] == overlap, F.lit(True))), lambda x: x)
+            out.append(whole.select(*keys, "n_chars", (F.col("longest") <= most).alias("within_limit"), shared.alias("overlaps"), F.md5(F.array_join(F.transform("p", lambda x: x["own"]), "")).alias("joined_md5")))
+    a, *rest = out
+    for b in rest:
+        a = a.unionByName(b)
+    return a
+
+
 def _typed_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field_name, rec_key, value of problem 4, one row a key."""
     cases = table(spark, sf_dir, "medpix_cases").select(F.col("u_id").alias("rec_key"), F.explode(F.create_map(F.lit("medpix_cases.title"), "title", F.lit("medpix_cases.case_diagnosis"), "case_diagnosis")).alias("field_name", "value"))
@@ -91,6 +111,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_mapped(spark, sf_dir).drop("score")
 
 
+def p4_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operator maps values to that are the name of an entry as it stands."""
+    names = table(spark, sf_dir, "diagnosis_list").select(F.col("dx_name").alias("value")).distinct()
+    values = _typed_diagnoses(spark, sf_dir).join(F.broadcast(names), "value", "left_semi")
+    return map_to_list(values, table(spark, sf_dir, "diagnosis_list"), ["field_name", "rec_key"], "value").drop("score")
+
+
 def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that name no entry, with the number of records of each."""
     values = _typed_diagnoses(spark, sf_dir)
@@ -115,12 +142,16 @@ def p7_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(docs, model=train_quality(docs))
 
 
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_stats(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_words")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_stats(spark, sf_dir).where("p_junk >= 0.5").select("doc_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_gaps": p1_gaps, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_ids": p5_ids, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_stats": p7_stats}
+    return {"p1_found": p1_found, "p1_gaps": p1_gaps, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_checks": p2_checks, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p4_names": p4_names, "p5_ids": p5_ids, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_stats": p7_stats, "p7_counts": p7_counts}
 
 
 P1_SQL = r"""WITH q AS (SELECT DISTINCT id, f, lower(regexp_replace(v, '[^\p{L}]', '', 'g')) AS label FROM (
@@ -137,7 +168,16 @@ P2_SQL = r"""WITH items AS (SELECT DISTINCT 'medpix_case_text.text' AS field_nam
 SELECT DISTINCT field_name, item_key, page_number, 'oversized' AS kind FROM long
 UNION SELECT DISTINCT field_name, item_key, page_number, 'unbroken' FROM long WHERE list_max(list_transform(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: length(x))) > max_chars"""
 
+P2_CHECKS = """SELECT field_name, item_key, page_number, md5(text) AS text_md5, length(text) AS n_chars, TRUE AS within_limit, TRUE AS overlaps, md5(text) AS joined_md5 FROM (
+  SELECT DISTINCT 'medpix_case_text.text' AS field_name, pdf_path AS item_key, page_number, text FROM medpix_case_text
+  UNION SELECT DISTINCT 'medpix_cases.disease_discussion', u_id, 0, disease_discussion FROM medpix_cases) JOIN split_limits USING (field_name) WHERE text IS NOT NULL"""
+P4_NAMES = """WITH t AS (SELECT u_id AS rec_key, unnest(['medpix_cases.title', 'medpix_cases.case_diagnosis']) AS field_name, unnest([title, case_diagnosis]) AS value FROM medpix_cases
+  UNION ALL SELECT id || ':' || e.key, 'medxpertqa_mm_2000.options', e.value FROM (SELECT id, unnest(map_entries(options)) AS e FROM medxpertqa_mm_2000)),
+ v AS (SELECT field_name, rec_key, max(value) AS value FROM t WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field_name, rec_key, ref_id FROM v JOIN diagnosis_list ON value = dx_name"""
+P7_COUNTS = r"""SELECT doc_id, coalesce(length(text), 0)::DOUBLE AS n_chars, len(regexp_extract_all(coalesce(text, ''), '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+'))::DOUBLE AS n_words FROM documents"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it on whole tables; the other operators are tested against brute force and held-out cases."""
-    return {"p1_found": P1_SQL.replace("{}", ""), "p1_gaps": P1_SQL.replace("{}", P1_GAPS), "p2_found": P2_SQL}
+    return {"p1_found": P1_SQL.replace("{}", ""), "p1_gaps": P1_SQL.replace("{}", P1_GAPS), "p2_found": P2_SQL, "p2_checks": P2_CHECKS, "p4_names": P4_NAMES, "p7_counts": P7_COUNTS}

@@ -2,7 +2,7 @@
 
 Balanced targets: the least piece count that can hold the text gives equal-length targets; each target is
 snapped to the strongest boundary near it; when a cut would have to fall inside a word although a boundary is
-in reach, the text is given one more piece and laid out anew.
+in reach, the text is given one more piece and laid out anew, until every limit holds.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def longest_run(text: str) -> int:
 
 
 def _whole(text: str, at: int, low: int) -> int:
-    """The nearest place at or before ``at`` that parts neither a CR LF nor a letter and its marks."""
-    for i in range(at, max(low, at - 32), -1):
+    """The nearest place at or before ``at`` that parts neither a CR LF nor a letter and its marks, ``at`` if there is none from ``low`` on."""
+    for i in range(at, low - 1, -1):
         c = text[i : i + 1]
         if not c or not (unicodedata.combining(c) or c in "\u200d\ufe0f" or (c == "\n" and text[i - 1] == "\r") or text[i - 1] == "\u200d"):
             return i
@@ -66,41 +66,46 @@ class _Places:
         return None
 
 
+def least_pieces(text_size: int, ends: list[int], stride: int, overlap: int) -> int:
+    """The least number of pieces that cut inside an unbroken run only where no boundary is in reach: each piece as long as
+    it may be, up to its last boundary."""
+    pieces, at = 1, overlap
+    while text_size - at > stride:
+        i = bisect_right(ends, at + stride) - 1
+        at = ends[i] if i >= 0 and ends[i] > at else at + stride
+        pieces += 1
+    return pieces
+
+
 def cut_points(text: str, max_chars: int, overlap: int) -> list[int]:
-    """Where the pieces of a text end; piece i reaches from ``overlap`` before the end of piece i-1 to its own end."""
+    """Where the pieces of a text end; piece i reaches from ``overlap`` before the end of piece i-1 to its own end.
+
+    The number of pieces is the least at which every limit holds (``least_pieces``), which is the least for the text's length, and
+    one more as often as a limit fails. Each target is snapped within the places from which the pieces left can still
+    reach the end, so a layout of that many is always found.
+    """
     n, stride = len(text), max_chars - overlap
     if n <= max_chars:
         return [n]
     places = _Places(text)
-    least = -(-(n - overlap) // stride)
-    for pieces in range(least, least + max(4, least // 4) + 1):
-        step = (n - overlap) / pieces
-        cuts, at, good = [], overlap, True
-        for j in range(1, pieces):
-            low = max(at + 1, n - (pieces - j) * stride)
-            high = min(at + stride, n - 1)
-            if low > high:
-                good = False
-                break
-            target = min(max(overlap + j * step, low), high)
-            cut = places.snap(target, low, high, NEARBY * step)
-            if cut is None:
-                if places.nearest(len(BOUNDARIES) - 1, high, at + 1, high) is not None:
-                    good = False  # a boundary is in reach, but only with more pieces
-                    break
-                cut = _whole(text, int(target), low)
-            cuts.append(cut)
-            at = cut
-        if good and n - at <= stride:
-            return [*cuts, n]
-    cuts, at = [], overlap  # pieces as long as they may be, each at the strongest boundary in its latter part
-    while n - at > stride:
-        high = at + stride
-        cut = places.snap(high, at + stride // 2, high, stride / 2)
-        if cut is None:
-            cut = places.nearest(len(BOUNDARIES) - 1, high, at + 1, high)
-        at = _whole(text, high, at + 1) if cut is None else cut
-        cuts.append(at)
+    ends = sorted({x for level in places.by_strength for x in level if overlap < x < n})
+    pieces = least_pieces(n, ends, stride, overlap)
+    earliest = [n]  # the end of each piece, from the last backwards, from which those after it just reach the end
+    for _ in range(pieces - 1):
+        end = earliest[-1]
+        i = bisect_left(ends, end)
+        after, before = ends[i] if i < len(ends) else n, ends[i - 1] if i else overlap
+        # either up to the next boundary, or into a run without one, which is entered from its start on
+        earliest.append(min(after - stride, max(before, end - stride)))
+    step, cuts, at = (n - overlap) / pieces, [], overlap
+    for j in range(1, pieces):
+        low, high = max(at + 1, earliest[pieces - j]), min(at + stride, n - 1)
+        target = min(max(overlap + j * step, low), high)
+        cut = places.snap(target, low, high, NEARBY * step)
+        if cut is None:  # no boundary is in reach
+            cut = _whole(text, int(target), low)
+        cuts.append(cut)
+        at = cut
     return [*cuts, n]
 
 

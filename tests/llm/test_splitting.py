@@ -47,6 +47,40 @@ def test_unbroken_runs():
     assert S.longest_run(text) == 900 and S.longest_run("") == 0 and S.longest_run(" \t\r\n") == 0
 
 
+def least_by_search(text, most, overlap):
+    """Pieces of a shortest way from cut to cut, none inside a run where a boundary is in reach."""
+    n, stride = len(text), most - overlap
+    ends = {x for level in S._Places(text).by_strength for x in level if overlap < x < n}
+    reached, pieces = {overlap}, 1
+    while not any(n - at <= stride for at in reached):
+        after = set()
+        for at in reached:
+            span = range(at + 1, min(at + stride, n - 1) + 1)
+            after |= ({x for x in span if x in ends} or set(span))
+        reached, pieces = after, pieces + 1
+    return pieces
+
+
+def test_least_pieces_and_no_needless_cut_against_search():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", "Some end. ", "\n\n", "x" * rng.randint(1, 60), " ", ", "]) for _ in range(rng.randint(1, 40)))
+        most = rng.randint(6, 60)
+        overlap = rng.randint(0, most - 2)
+        spans = check(text, most, overlap)
+        assert len(spans) == (least_by_search(text, most, overlap) if len(text) > most else 1)
+        ends = {x for level in S._Places(text).by_strength for x in level}
+        for (_, at), (_, b) in zip([(0, overlap), *spans], spans[:-1]):
+            assert b in ends or not any(x in ends for x in range(at + 1, min(at + most - overlap, len(text) - 1) + 1))
+
+
+def test_a_limit_that_most_words_nearly_fill():
+    rng = random.Random(6)
+    for _ in range(200):
+        check(" ".join("x" * rng.randint(60, 99) for _ in range(rng.randint(2, 60))), 100, 10)
+    check(" ".join("x" * rng.randint(60, 99) for _ in range(20_000)), 100, 10)
+
+
 def test_no_cut_before_a_mark_or_within_crlf():
     text = "é" * 100
     assert all(text[b : b + 1] != "́" for _, b in check(text, 33, 0)[:-1])
