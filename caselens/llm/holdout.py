@@ -1,4 +1,9 @@
-"""Texts checked by hand, to calibrate the quality classifier: 0 is prose, 1 is a list, a table or junk."""
+"""Texts checked by hand: 0 is prose, 1 is a list, a table or junk.
+
+``ANCHORS`` stand beside the weakly labelled sample in every training set, so that both kinds are always there. ``CALIBRATION``
+texts only set the probability, ``MEASURED`` ones are only measured on; texts of a corpus that equal one of these two are kept
+out of its training sample.
+"""
 
 HOLDOUT: list[tuple[int, str]] = [
     (0, "The patient was seen again after two weeks and reported that the pain had gone. On examination the abdomen was soft, and there was no sign of infection."),
@@ -50,3 +55,32 @@ HOLDOUT: list[tuple[int, str]] = [
     (1, "^~*=]<&■}=^/_%{/{}=-@-□->□}{%{**■□_&><#~-$■~/[^■>[_]!*□!^■&*>#@=<}[■□}_+$<□■+%&@}>#▒▒!}@+#]▒#□<$"),
     (1, "ïAmong ™thÅo¤se €gÃiven th½e dr™ug, ¤folÅl€owÂ-up ½a€t ¿21 ïwe¿eks ¢was™ žuÃnevÂeÃn¤tÅful™; thež va½lue hžad Åf¢a™ll€en."),
 ]
+
+#: Texts of other make than the corpora's, written for measuring alone.
+UNSEEN: list[tuple[int, str]] = [
+    (0, "We drove up the valley before dawn, parked by the old mill and waited for the fog to lift. Nobody spoke much, since there was little to say."),
+    (0, "Why does bread rise? The yeast eats the sugar in the dough, and the gas that it gives off is caught in a net of gluten."),
+    (0, "Dear Ms Holm,\n\nThank you for your letter of the 3rd. I am sorry that the parcel came late, and I have asked the depot to look into it.\n\nYours,\nR. Vance"),
+    (0, "The committee met twice. It agreed on the first point, put off the second, and could not find any money for the third."),
+    (0, "i never thought id say this but the new keyboard is actually pretty good and i dont miss the old one at all so far"),
+    (0, "Im Herbst ziehen die Kraniche über das Dorf, und die Kinder laufen hinaus, um sie zu zählen. Manchmal sind es mehr als hundert."),
+    (0, "Quand il pleut, la place se vide en quelques minutes et les marchands rangent leurs étals sous les arcades, où ils attendent que cela passe."),
+    (0, "Cuando terminó la obra, los vecinos salieron a la calle y brindaron con el albañil, que no sabía dónde meterse de la vergüenza."),
+    (0, "To make the glue, stir the flour into cold water, then heat it slowly. When it thickens, take it off the stove and let it stand for an hour before you use it."),
+    (0, "\"I won't,\" she said.\n\"You will,\" he said, and shut the door.\nThat was the last that the two of them spoke of it for years."),
+    (0, "The bridge is 412 m long and carries two tracks. It was opened in 1931, closed in 1944 after the flood, and rebuilt by 1950 with steel from the same works."),
+    (0, "Three things went wrong. First, the pump was too small for the well.\n- the spare one had been lent out\n- the fuses did not fit\nIn the end we carried the water by hand."),
+    (1, "Monday 08:00-12:00\nTuesday 08:00-12:00\nWednesday closed\nThursday 14:00-18:00\nFriday 08:00-12:00\nSaturday closed"),
+    (1, "milk\neggs\nflour\nbutter\nsalt\nbaking powder\nvanilla\nlemons"),
+    (1, "name;city;age;score\nHolm;Oslo;41;7.5\nVance;Leeds;38;6.1\nKerr;Perth;52;9.0\nOtt;Bern;29;4.4"),
+    (1, "def f(x):\n    return {k: v for k, v in x.items() if v}\n\nfor i in range(10):\n    print(f({i: i % 2}))"),
+    (1, "JVBERi0xLjQKJcOkw7zDtsOfCjIgMCBvYmoKPDwvTGVuZ3RoIDMgMCBSL0ZpbHRlci9GbGF0ZURlY29kZT4+CnN0cmVhbQp4nD2OywoCMQxF9/mKu"),
+    (1, "Home | About | Contact | Login | Register | Help | Terms | Privacy | Sitemap | Jobs | Press | Blog"),
+    (1, "lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol"),
+    (1, "C6H12O6 180.16\nC12H22O11 342.30\nNaCl 58.44\nH2SO4 98.08\nCaCO3 100.09\nKMnO4 158.03"),
+    (1, "192.0.2.7 - - [04/Mar/2031:10:22:01] \"GET /a.png\" 200 5120\n192.0.2.9 - - [04/Mar/2031:10:22:02] \"GET /b.css\" 304 0\n192.0.2.7 - - [04/Mar/2031:10:22:05] \"GET /\" 200 913"),
+    (1, "%%% ### @@@ &&& *** ((( ))) === +++ --- ~~~ ^^^ ::: ;;; <<< >>> ??? !!! /// ||| \\\\\\"),
+    (1, "Chapter 1 ..... 3\nChapter 2 ..... 17\nChapter 3 ..... 41\nAppendix A ..... 88\nAppendix B ..... 93\nIndex ..... 101"),
+    (1, "red, green, blue, cyan, magenta, yellow, black, white, orange, purple, brown, pink, grey, olive, teal, navy"),
+]
+ANCHORS, CALIBRATION, MEASURED = HOLDOUT[::3], HOLDOUT[1::3], HOLDOUT[2::3] + UNSEEN

@@ -2,11 +2,12 @@
 
 The statistics are sums over words, each word's share looked up once, and over lines. Rules that only fire on
 clear cases label a bounded sample; gradient-boosted trees are fitted to it, and their margin is turned into a
-probability by a logistic curve fitted to the hand-checked texts of ``holdout.py``.
+probability by a logistic curve fitted to hand-checked texts of ``holdout.py`` that take no part in training.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .holdout import HOLDOUT
+from .holdout import ANCHORS, CALIBRATION, MEASURED
 
 #: Frequent function words of English, German, French and Spanish. Fixed values.
 COMMON = frozenset(
@@ -223,19 +224,29 @@ def quality_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def train_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Trees:
-    """The trees fitted to about ``rows`` rows drawn by a hash of their id and text, and to the hand-checked texts.
+    """The trees fitted to about ``rows`` texts drawn by a hash of id and text, and to the hand-checked anchors.
 
-    Rows the rules leave open are not fitted to. Without labelled rows of both kinds the hand-checked texts alone serve.
+    Rows the rules leave open are not fitted to. Of rows with the same id and text one is drawn, so repeated rows can't
+    crowd the sample; hand-checked texts that calibrate or measure are left out of it. The anchors are in every training set,
+    so both kinds are there whatever the corpus; an empty one trains on them alone.
     """
     total = df.count()
-    sample = df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t")).where("t is not null")
+    hand = [hashlib.md5(t.encode()).hexdigest() for _, t in CALIBRATION + MEASURED]
+    sample = df.select(F.xxhash64(df[id_col], df[text_col].cast("string"), F.lit(7)).alias("i"), df[text_col].cast("string").alias("t")).where(F.col("t").isNotNull() & ~F.md5("t").isin(hand))
     if total > rows:
-        sample = sample.where(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1_000_003)) < int(1_000_003 * rows / total))
-    got = quality_stats(sample, "i", "t").orderBy("i", *STATS).limit(2 * rows).toPandas()
-    x = got[STATS].to_numpy(float)
+        sample = sample.where(F.pmod("i", F.lit(1_000_003)) < int(1_000_003 * rows / total))
+    got = quality_stats(sample.dropDuplicates(["i"]), "i", "t").orderBy("i").limit(2 * rows).toPandas()
+    x = got[STATS].to_numpy(float).reshape(-1, len(STATS))
     y = weak_labels(x)
-    hand_x, hand_y = np.array([text_stats(t) for _, t in HOLDOUT]), np.array([label for label, _ in HOLDOUT])
-    x, y = x[y >= 0], y[y >= 0]
-    if len(set(y.tolist())) < 2:
-        x, y = hand_x, hand_y
-    return calibrate(fit_trees(x, y.astype(float)), HOLDOUT)
+    anchors = np.array([text_stats(t) for _, t in ANCHORS])
+    x, y = np.concatenate([x[y >= 0], anchors]), np.concatenate([y[y >= 0], [label for label, _ in ANCHORS]])
+    return calibrate(fit_trees(x, y.astype(float)), CALIBRATION)
+
+
+def measured(model: Trees, texts: list[tuple[int, str]] = MEASURED) -> dict[str, float]:
+    """Precision and recall of junk, share of right labels and mean calibration error (Brier score) on hand-checked texts."""
+    y = np.array([label for label, _ in texts])
+    p = model.probability(np.array([text_stats(t) for _, t in texts]))
+    hit = p >= 0.5
+    both = float((hit & (y == 1)).sum())
+    return {"precision": both / max(1, hit.sum()), "recall": both / max(1, (y == 1).sum()), "accuracy": float((hit == y).mean()), "brier": float(((p - y) ** 2).mean()), "texts": len(y)}
