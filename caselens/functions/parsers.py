@@ -51,6 +51,11 @@ def parse_official(text: Column) -> Column:
     return let(text, _official)
 
 
+def boxed_letter(text: Column) -> Column:
+    """The first boxed letter, null if there is none."""
+    return _first(text, BOXED)
+
+
 def parse_boxed(text: Column) -> Column:
     """The first boxed letter, else what ``parse_official`` finds."""
     return let(text, lambda x: F.coalesce(_first(x, BOXED), _official(x)))

@@ -15,7 +15,7 @@ NO_VALUE = "N/A"
 
 def case_text() -> Column:
     """The fields of a case row as one text, a line a field; empty fields, repeats and N/A left out."""
-    v = {f: strip(F.coalesce(F.col(f), F.lit(""))) for f in ("title", "case_diagnosis", "differential_diagnosis", "age", "sex", *[f for _, f in PLAIN_FIELDS + LONG_FIELDS])}
+    v = {f: strip(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in ("title", "case_diagnosis", "differential_diagnosis", "age", "sex", *[f for _, f in PLAIN_FIELDS + LONG_FIELDS])}
 
     def line(head: str, value: Column, show: Column) -> Column:
         return F.when(show, F.concat(F.lit(f"{head}: "), value))

@@ -39,16 +39,29 @@ def substring_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return rarest.join(hay_grams, "g").where(F.col("h").contains(F.col("n"))).select("n", "h")
 
 
-def fuzzy_best(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """n, h, score for every two distinct texts that share a concept word: token-set percent.
-
-    Texts that share no word score 0, so the equi-join on words loses nothing.
+def _rarest_words(texts: DataFrame, text: str, words: str, other: DataFrame, threshold: int) -> DataFrame:
+    """``text``, w: of each text's words so many of those least used on the other side that any text which shares
+    ``threshold`` percent of them has one of these."""
+    df = other.groupBy("w").agg(F.count("*").alias("df"))
+    each = texts.select(text, F.size(words).alias("size"), F.explode(words).alias("w")).join(df, "w", "left")
+    ranked = each.groupBy(text, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("ws"))
+    shared = F.ceil(F.col("size") * threshold / 100)
+    return ranked.select(text, F.explode(F.slice("ws", F.lit(1), (F.col("size") - shared + 1).cast("int"))).alias("x")).select(text, "x.w")
+
+
+def fuzzy_best(needles: DataFrame, hays: DataFrame, threshold: int = 90) -> DataFrame:
+    """n, h, score of every two distinct texts whose token-set percent is at least ``threshold``.
+
+    The percent is of the smaller set, so that set has all but a few of its words in the other: some of any few more are shared. Its rarest
+    ones are looked up, once with the needles as the smaller sets and once with the hays: an equi-join that loses nothing
+    and does not meet common words.
     """
-    a = needles.select("n", concept_tokens(F.col("n")).alias("nt"))
-    b = hays.select("h", concept_tokens(F.col("h")).alias("ht"))
-    pairs = a.select("n", F.explode("nt").alias("w")).join(b.select("h", F.explode("ht").alias("w")), "w").groupBy("n", "h").agg(F.count("*").alias("shared"))
-    sized = pairs.join(a.select("n", F.size("nt").alias("na")), "n").join(b.select("h", F.size("ht").alias("nb")), "h")
-    return sized.select("n", "h", F.floor(100 * F.col("shared") / F.greatest(F.least("na", "nb"), F.lit(1))).cast("int").alias("score"))
+    a = needles.select("n", concept_tokens(F.col("n")).alias("nt")).where(F.size("nt") > 0)
+    b = hays.select("h", concept_tokens(F.col("h")).alias("ht")).where(F.size("ht") > 0)
+    aw, bw = a.select("n", F.explode("nt").alias("w")), b.select("h", F.explode("ht").alias("w"))
+    pairs = _rarest_words(a, "n", "nt", bw, threshold).join(bw, "w").select("n", "h").unionByName(_rarest_words(b, "h", "ht", aw, threshold).join(aw, "w").select("n", "h")).distinct()
+    sized = pairs.join(a, "n").join(b, "h")
+    return sized.select("n", "h", token_set_ratio(F.col("nt"), F.col("ht")).alias("score")).where(F.col("score") >= threshold)
 
 
 def coverage(questions: DataFrame, cases: DataFrame, threshold: int = 90) -> DataFrame:
@@ -68,7 +81,7 @@ def coverage(questions: DataFrame, cases: DataFrame, threshold: int = 90) -> Dat
     sub = substring_pairs(needles, hays).join(first, "h").groupBy("n").agg(F.min("case").alias("case"))
     sub = sub.select("n", F.lit("substring").alias("match_strategy"), F.col("case.u_id").alias("matched_uid"), F.when(F.col("case.dx") != "", F.col("case.dx")).otherwise(F.col("case.title")).alias("matched_dx"))
     rest = needles.join(sub, "n", "left_anti")
-    fuzzy = fuzzy_best(rest, hays).where(F.col("score") >= threshold).join(first, "h")
+    fuzzy = fuzzy_best(rest, hays, threshold).join(first, "h")
     best = fuzzy.groupBy("n").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("case.case_pos").alias("case_pos"))).alias("b")).select("n", (-F.col("b.neg")).alias("score"), F.col("b.case_pos").alias("case_pos"))
     both = best.join(case, "case_pos")
     s1 = token_set_ratio(concept_tokens(F.col("n")), concept_tokens(F.col("title")))

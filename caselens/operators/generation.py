@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.functions.parsers import PARSERS
+from caselens.functions.parsers import PARSERS, boxed_letter
 from caselens.functions.text import strip
 
 
@@ -39,6 +39,7 @@ def score_outputs(df: DataFrame, primary: str = "boxed") -> DataFrame:
     A null prediction is right only where gold is null too.
     """
     out = df.withColumn("__text", strip(F.coalesce(F.col("raw_output"), F.lit(""))))
-    out = out.withColumns({f"predicted_{p}": parse(F.col("__text")) for p, parse in PARSERS.items()}).drop("__text")
+    out = out.withColumns({f"predicted_{p}": parse(F.col("__text")) for p, parse in PARSERS.items() if p != "boxed"})
+    out = out.withColumn("predicted_boxed", F.coalesce(boxed_letter(F.col("__text")), F.col("predicted_official"))).drop("__text")  # the fallback is there already
     out = out.withColumns({f"correct_{p}": F.col(f"predicted_{p}").eqNullSafe(F.col("gold")) for p in PARSERS})
     return out.withColumns({"predicted": F.col(f"predicted_{primary}"), "correct": F.col(f"correct_{primary}"), "primary_parser": F.lit(primary)})

@@ -41,6 +41,22 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy("__o", key))).drop("__o")
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows from 0 in the given order: sorted by ranges, then each range by its place after the ranges before it.
+
+    Only the row count of each range comes to the driver.
+    """
+    from caselens.session import checkpointed, local_frame
+
+    ranges = checkpointed(df.orderBy(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")))
+    sizes, start, rows = sorted((r["__p"], r["count"]) for r in ranges.groupBy("__p").count().collect()), 0, []
+    for part, n in sizes:
+        rows.append((part, start))
+        start += n
+    at = local_frame(df.sparkSession, rows, "__p int, __start long")
+    return ranges.join(F.broadcast(at), "__p").withColumn(out, F.col("__start") + F.col("__i")).drop("__p", "__i", "__start")
+
+
 def indexed_sample(df: DataFrame, pos: str, n: int, seed: int = 42) -> DataFrame:
     """The sample that Python's ``random.Random(seed).sample`` draws of the rows numbered 0.. by ``pos``; ``rank`` is its order.
 

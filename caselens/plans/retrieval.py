@@ -75,13 +75,14 @@ def image_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def _stub():
     """Stands in for a model: the letter is a function of the prompt."""
-    import zlib
+    import hashlib
 
-    return lambda texts, images: [f"The findings fit. \\boxed{{{'ABCDEFGHIJ'[zlib.crc32(t.encode()) % 10]}}}" for t in texts]
+    return lambda texts, images: [f"The findings fit. \\boxed{{{'ABCDEFGHIJ'[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % 10]}}}" for t in texts]
 
 
 def generated_answers(spark: SparkSession, d: str) -> DataFrame:
-    p = _prompted(spark, d).select("id", "condition", F.to_json("user_content").alias("prompt"), "prompt_images")
+    text = F.filter("user_content", lambda x: x["type"] == "text")
+    p = _prompted(spark, d).select("id", "condition", text[0]["text"].alias("prompt"), "prompt_images")
     out = generation.generate(p, _stub)
     gold = first_per_key(_questions(spark, d).select("id", F.col("label").alias("gold")), ["id"], ["gold"])
     scored = generation.score_outputs(out.join(gold, "id"))
@@ -114,8 +115,10 @@ def finite_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_hashes(spark: SparkSession, d: str) -> DataFrame:
-    e = _vectors(spark, d)
-    return e.select("vec_id", V.average_hash(F.col("embedding")).alias("ahash"), V.difference_hash(F.col("embedding"), 8).alias("dhash"))
+    """Hashes of vectors that stand in for thumbnails: 8 x 8 pixels for the average, 9 x 8 for the differences, the last row
+    of which are the first numbers again."""
+    nine = F.concat("embedding", F.slice("embedding", 1, 8))
+    return _vectors(spark, d).select("vec_id", V.average_hash(F.col("embedding")).alias("ahash"), V.difference_hash(nine, 9).alias("dhash"))
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +144,8 @@ def hash_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def likely_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose nearest pair is within twenty bits on both hashes."""
-    return nearest_image_pair(spark, d).where(contamination.likely_duplicate(20, 20)).select("qid", "correct", "best_case", "min_ahash", "min_dhash")
+    """Questions whose nearest pair is within ten bits on both hashes."""
+    return nearest_image_pair(spark, d).where(contamination.likely_duplicate()).select("qid", "correct", "best_case", "min_ahash", "min_dhash")
 
 
 BM25 = f"""{TEXTS}, docs AS (SELECT u_id, list_filter(string_split({norm_sql("text")}, ' '), lambda w: length(w) >= 3 AND NOT list_contains({STOP}, w)) AS w FROM texts WHERE {NOT_BLANK}),
@@ -151,7 +154,7 @@ BM25 = f"""{TEXTS}, docs AS (SELECT u_id, list_filter(string_split({norm_sql("te
  terms AS (SELECT term, count(*) AS df FROM post GROUP BY term),
  ask AS (SELECT * FROM medxpertqa_mm_2000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY question NULLS LAST) = 1),
  qt AS (SELECT id AS qid, unnest({tokens_sql("question")}) AS term FROM ask),
- useful AS (SELECT qid, term, df, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, n_docs, avg_terms FROM qt JOIN terms USING (term), size WHERE df <= 0.05 * n_docs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, term) <= 8),
+ useful AS (SELECT qid, term, df, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, n_docs, avg_terms FROM qt JOIN terms USING (term), size),
  scored AS (SELECT qid, u_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n_terms / avg_terms))), 4) AS score FROM useful JOIN post USING (term) GROUP BY qid, u_id),
  sparse AS (SELECT qid, u_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, u_id)::INT AS rank, score FROM scored QUALIFY rank <= 3)"""
 RECORDED = """seen AS (SELECT qid, sources FROM results WHERE condition = 'use_vision-on' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1),
@@ -165,9 +168,9 @@ PROMPTS = f"""{CONTEXT}, {IMAGES},
  f AS (SELECT q.*, condition, CASE WHEN condition <> 'no-rag' THEN context END AS ctx, CASE WHEN condition = 'use_vision-on' THEN coalesce(got, [])[1:greatest(0, 12 - len(own))] ELSE [] END AS extra FROM q CROSS JOIN (VALUES ('no-rag'), ('use_vision-off'), ('use_vision-on')) v(condition)),
  prompted AS (SELECT id, condition, (len(own) + 1 + len(extra))::INT AS n_parts, 'Question:' || chr(10) || question || CASE WHEN coalesce(ctx, '') <> '' THEN chr(10) || chr(10) || 'Reference cases (text):' || chr(10) || ctx ELSE '' END AS prompt_text,
   CASE WHEN condition = 'use_vision-on' THEN list_concat(own, extra) ELSE own[1:12] END AS images, coalesce(length(ctx), 0)::INT AS ctx_chars, len(extra)::INT AS n_retrieved_images FROM f)"""
-HASHES = """hashes AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS m, embedding FROM embeddings),
+HASHES = """hashes AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / 64 AS m, embedding, list_concat(embedding, embedding[1:8]) AS nine FROM embeddings),
  bits AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE >= m THEN '1' ELSE '0' END), '') AS ahash,
-  array_to_string(list_transform(list_filter(range(0, 64), lambda i: i % 8 < 7), lambda i: CASE WHEN embedding[i + 1] > embedding[i + 2] THEN '1' ELSE '0' END), '') AS dhash FROM hashes)"""
+  array_to_string(list_transform(list_filter(range(0, 72), lambda i: i % 9 < 8), lambda i: CASE WHEN nine[i + 1] > nine[i + 2] THEN '1' ELSE '0' END), '') AS dhash FROM hashes)"""
 PAIRS = f"""{HASHES}, seen AS (SELECT qid, coalesce(correct_official, false) AS correct, sources FROM results WHERE condition = 'use_vision-on' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1),
  src AS (SELECT qid, unnest(sources[1:3]).u_id AS u_id, generate_subscripts(sources[1:3], 1) AS s_pos FROM seen),
  ask AS (SELECT * FROM medxpertqa_mm_2000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY question NULLS LAST, image_paths NULLS LAST) = 1),
@@ -198,7 +201,12 @@ QUERIES = {
         image_budget,
         f"WITH {PROMPTS} SELECT condition, count(*) AS n, sum(len(images))::BIGINT AS n_images, sum(n_retrieved_images)::BIGINT AS n_retrieved, max(len(images))::INT AS most_images, sum(ctx_chars)::BIGINT AS ctx_chars FROM prompted GROUP BY condition",
     ),
-    "generated_answers": (generated_answers, None),
+    "generated_answers": (
+        generated_answers,
+        f"""WITH {PROMPTS}, gold AS (SELECT id, label AS gold FROM medxpertqa_mm_2000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY label NULLS LAST) = 1),
+ said AS (SELECT id, condition, gold, 'ABCDEFGHIJ'[(('0x' || substr(md5(prompt_text), 1, 7))::BIGINT % 10 + 1)::INT] AS predicted FROM prompted JOIN gold USING (id))
+ SELECT id, condition, gold, 'The findings fit. \\boxed{{' || predicted || '}}' AS raw_output, predicted, predicted IS NOT DISTINCT FROM gold AS correct FROM said""",
+    ),
     "late_interaction": (
         late_interaction,
         f"""WITH {RECORDED}, p AS (SELECT vec_id, list_transform(range(0, 4), lambda i: embedding[i * 16 + 1 : i * 16 + 16]::DOUBLE[]) AS parts FROM embeddings),
@@ -212,10 +220,10 @@ QUERIES = {
         hash_quartiles,
         f"WITH {PAIRS}, e AS (SELECT correct, 'ahash' AS hash, min_ahash AS v FROM pairs UNION ALL SELECT correct, 'dhash', min_dhash FROM pairs), s AS (SELECT correct, hash, count(*) AS n, list(v ORDER BY v) AS x FROM e GROUP BY 1, 2) SELECT correct, hash, n, x[1] AS least, x[n // 4 + 1] AS q25, x[n // 2 + 1] AS median, x[3 * n // 4 + 1] AS q75, x[n] AS most FROM s",
     ),
-    "likely_duplicates": (likely_duplicates, f"WITH {PAIRS} SELECT qid, correct, best_case, min_ahash, min_dhash FROM pairs WHERE min_ahash <= 20 AND min_dhash <= 20"),
+    "likely_duplicates": (likely_duplicates, f"WITH {PAIRS} SELECT qid, correct, best_case, min_ahash, min_dhash FROM pairs WHERE min_ahash <= 10 AND min_dhash <= 10"),
     "contamination_verdict": (
-        lambda s, d: contamination.verdict(nearest_image_pair(s, d), 20, 20),
-        f"""WITH {PAIRS}, t AS (SELECT count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_wrong, count(*) FILTER (correct AND min_ahash <= 20 AND min_dhash <= 20) AS dup_correct, count(*) FILTER (NOT correct AND min_ahash <= 20 AND min_dhash <= 20) AS dup_wrong FROM pairs),
+        lambda s, d: contamination.verdict(nearest_image_pair(s, d)),
+        f"""WITH {PAIRS}, t AS (SELECT count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_wrong, count(*) FILTER (correct AND min_ahash <= 10 AND min_dhash <= 10) AS dup_correct, count(*) FILTER (NOT correct AND min_ahash <= 10 AND min_dhash <= 10) AS dup_wrong FROM pairs),
  p AS (SELECT *, coalesce(dup_correct::DOUBLE / nullif(n_correct, 0), 0) AS p_c, coalesce(dup_wrong::DOUBLE / nullif(n_wrong, 0), 0) AS p_w FROM t)
  SELECT n_correct, n_wrong, dup_correct, dup_wrong, round(p_c, 6) AS p_correct, round(p_w, 6) AS p_wrong, CASE WHEN n_correct = 0 THEN 'none' WHEN p_c > 3 * greatest(p_w, 0.001) THEN 'likely' WHEN p_c < 0.1 AND p_w < 0.1 THEN 'unlikely' ELSE 'modest' END AS verdict FROM p""",
     ),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_images(images: DataFrame, folder: str) -> int:
-    """Write name, content rows as files of a shared folder; a file that exists is left alone. The number written.
+def write_images(images: DataFrame, folder: str, convert: Callable[[bytes], bytes] | None = None) -> int:
+    """Write name, content rows as files of a shared folder, ``convert``-ed first (``readers.rgb_png``); a file that exists is left
+    alone. The number written.
 
     Each file appears under its name only when whole, so a task that is run again does no harm.
     """
@@ -38,7 +40,7 @@ def write_images(images: DataFrame, folder: str) -> int:
                 if content is not None and not os.path.exists(target):
                     part = f"{target}.{os.getpid()}.part"
                     with open(part, "wb") as f:
-                        f.write(content)
+                        f.write(convert(content) if convert else content)
                     os.replace(part, target)
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
@@ -68,7 +70,14 @@ def write_collection(documents: DataFrame, postings: DataFrame, terms: DataFrame
 
 
 def open_collection(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")}
+    """documents, postings and terms of an index folder, and its vectors and the names of its models."""
+    out = {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")}
+    out["models"] = spark.read.schema("kind string, model string").json(f"{path}/models")
+    try:
+        out["vectors"] = spark.read.parquet(f"{path}/vectors")
+    except AnalysisException:  # an index of terms alone
+        pass
+    return out
 
 
 def spot_check(collection: dict[str, DataFrame], n: int = 3) -> list[dict]:

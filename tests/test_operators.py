@@ -170,6 +170,70 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.pixels for r in broken.collect()] == [[1.0, 2.0]]
 
 
+def test_positions_follow_the_files(spark, tmp_path):
+    # the larger file is read first, and a third has several splits; rows count by file and line all the same
+    (tmp_path / "in").mkdir()
+    for name, n, width in (("a", 3, 1), ("b", 60, 400), ("c", 4000, 10)):
+        (tmp_path / f"in/{name}.jsonl").write_text("\n".join(json.dumps({"id": f"{name}{i}", "question": "x" * width}) + "\n \t" * (i % 2) for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.read_jsonl(spark, str(tmp_path / "in"), "id string, question string")
+        want = [f"{name}{i}" for name, n in (("a", 3), ("b", 60), ("c", 4000)) for i in range(n)]
+        assert [r.id for r in got.repartition(5).orderBy("_pos").collect()] == want
+        got.drop("_pos").orderBy("id").write.parquet(str(tmp_path / "pq"))
+        assert [r.id for r in records.numbered(got.repartition(7), ["_pos"], "n").orderBy("n").select("id", "n").collect()] == want
+        table = readers.read_parquet(spark, str(tmp_path / "pq"), "_pos").orderBy("_pos")
+        assert [r["_pos"]["row"] for r in table.where("id < 'b'").collect()] == [0, 1, 2]
+        assert records.last_per_key(got.withColumn("k", F.lit(1)), ["k"], "_pos").first().id == "c3999"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_embedders(spark):
+    from caselens.operators.embedding import embed, hashed_words, sparse_embed
+
+    df = spark.createDataFrame([(1, "renal cyst renal"), (2, None), (3, "")], "id int, text string")
+    got = {r.id: r.vector for r in embed(df, "text", hashed_words(8), batch=2).collect()}
+    assert got[2] is None and len(got[1]) == 8 and sum(x * x for x in got[1]) == pytest.approx(1)
+    bad = embed(df, "text", lambda: lambda texts: [[float("nan")] for _ in texts]).collect()
+    assert [r.vector for r in bad] == [None] * 3
+    assert {(r.id, r.term): r.weight for r in sparse_embed(df, "id", "text").collect()} == {(1, "renal"): 2.0, (1, "cyst"): 1.0}
+    own = sparse_embed(df, "id", "text", lambda: lambda texts: [{"x": 0.5} for _ in texts])
+    assert {(r.id, r.term): r.weight for r in own.collect()} == {(1, "x"): 0.5, (3, "x"): 0.5}
+
+
+def test_fuzzy_pairs_against_brute_force(spark):
+    import random
+
+    from caselens.functions.text import concept_tokens, token_set_ratio
+    from caselens.operators.coverage import fuzzy_best
+
+    rng = random.Random(1)
+    text = lambda n: " ".join(rng.choice(["type", "renal", "cyst", *[f"word{i}" for i in range(25)]]) for _ in range(n))
+    needles = spark.createDataFrame([(x,) for x in {text(rng.randint(0, 14)) for _ in range(120)}], "n string")
+    hays = spark.createDataFrame([(x,) for x in {text(rng.randint(0, 14)) for _ in range(120)} | {"type"}], "h string")
+    for threshold in (90, 60):
+        want = needles.crossJoin(hays).select("n", "h", token_set_ratio(concept_tokens(F.col("n")), concept_tokens(F.col("h"))).alias("score")).where(F.col("score") >= threshold)
+        assert sorted(map(tuple, fuzzy_best(needles, hays, threshold).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_drops_repeated_records(spark):
+    from caselens.streaming.running import distinct_records
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
+    assert distinct_records(df, ["k"]).count() == 2
+
+
+def test_images_of_a_prompt(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / n).write_bytes(n.encode())
+    df = spark.createDataFrame([("q1", [f"{tmp_path}/b", f"{tmp_path}/gone", f"{tmp_path}/a"]), ("q2", None)], "qid string, paths array<string>")
+    got = {r.qid: [bytes(x) for x in r.images] for r in readers.load_images(df, "paths", ["qid"], 3).collect()}
+    assert got == {"q1": [b"b", b"a"], "q2": []}
+    assert {r.error for r in readers.read_contents(df.select(F.explode("paths").alias("path"))).collect()} == {None, "FileNotFoundError"}
+
+
 def test_summary_and_collection(spark, tmp_path):
     df = spark.createDataFrame([("no-rag", True, True, "A", "S")], "condition string, correct_boxed boolean, correct boolean, predicted_boxed string, body_system string")
     for p in ("official", "strict", "lenient"):
