@@ -308,23 +308,28 @@ def candidates(items: Items, seg: Segment) -> np.ndarray:
     g, token = lists[_lists((np.cumsum(size) - size)[phrase], n)], np.repeat(token, n)
     doc, place = np.searchsorted(seg.starts, g, "right") - 1, items.place[token]
     span, bits = int(np.diff(seg.starts).max()) + 2 * items.longest + DRIFT + 1, items.longest.bit_length()
-    pair = doc * len(items.ids) + items.item[token]
-    key = np.sort((pair * span + g - seg.starts[doc] - place + items.longest) << bits | place)
-    offset, place = key >> bits, key & ((1 << bits) - 1)
+    pair, offset = doc * len(items.ids) + items.item[token], g - seg.starts[doc] - place + items.longest
+    if (len(seg.docs) * len(items.ids) * span) << bits < 1 << 63:  # all three in one number, which sorts fastest
+        key = np.sort((pair * span + offset) << bits | place)
+        place = key & ((1 << bits) - 1)
+        pair, offset = np.divmod(key >> bits, span)
+    else:
+        order = np.lexsort((place, offset, pair))
+        pair, offset, place = pair[order], offset[order], place[order]
     # runs of offsets that drift little; those where enough phrases lie near each other in the item are looked at
-    new = np.ones(len(key), bool)
-    new[1:] = (np.diff(offset) > DRIFT - 1) | (offset[1:] // span != offset[:-1] // span)
+    new = np.ones(len(pair), bool)
+    new[1:] = (np.diff(offset) > DRIFT - 1) | (np.diff(pair) != 0)
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
-    order = np.argsort(run << bits | place, kind="stable")
+    order = np.lexsort((place, run)) if len(first) << bits >= 1 << 63 else np.argsort(run << bits | place, kind="stable")
     p = place[order]
     close = np.zeros(len(first), bool)
     m = LEAST_MET - 1
     close[run[order][m:][(run[order][m:] == run[order][:-m]) & (p[m:] - p[:-m] < LEAST_WORDS)]] = True
     low, high = np.minimum.reduceat(place, first)[close], np.maximum.reduceat(place, first)[close]
-    last = np.append(first[1:], len(key))[close] - 1
+    last = np.append(first[1:], len(pair))[close] - 1
     first = first[close]
-    pair, early, late = offset[first] // span, offset[first] % span - items.longest, offset[last] % span - items.longest
+    pair, early, late = pair[first], offset[first] - items.longest, offset[last] - items.longest
     got = [np.zeros(0, np.int64)]
     for a, b in _chunks(pair, 20_000):  # so many runs at a time, whatever their number; a pair's runs stay together
         got.append(_met(items, seg, pair[a:b], early[a:b], late[a:b], low[a:b], high[a:b]))
@@ -369,8 +374,19 @@ def _met(items: Items, seg: Segment, pair: np.ndarray, early: np.ndarray, late:
     return pairs[np.logical_or.reduceat((near >= LEAST_NEAR) & (mine >= LEAST_OWN * all_), ends - n)]
 
 
-def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int]]:
-    """(document, item, words, longest run) of every leak in a segment."""
+def longest_phrase(words: np.ndarray, place: np.ndarray, at: np.ndarray) -> int:
+    """Words of the longest stretch of an item that a document has token by token."""
+    order = np.lexsort((place, at - place))
+    place, offset = place[order], (at - place)[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(offset) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    return int((words[place[last]] - words[place[first]]).max()) + 1 if len(first) else 0
+
+
+def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, words, longest run, longest phrase) of every leak in a segment."""
     pairs = candidates(items, seg)
     if not len(pairs):
         return []
@@ -386,12 +402,13 @@ def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int]]:
         place, at = order[_lists(lo, n)], np.repeat(p, n)
         total, longest = score(items, i, place, at, t, p, digits) if len(at) else (0, 0)
         if total:
-            out.append((d, i, total, longest))
+            out.append((d, i, total, longest, longest_phrase(items.word_of[i], place, at)))
     return out
 
 
 def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "item_text", index: DataFrame | None = None) -> DataFrame:
-    """item_id, ``id_col``, n_words, longest_run of every item and document that carries enough of it.
+    """item_id, ``id_col``, n_words, longest_run, longest_phrase of every item and document that carries enough of it: words in
+    all its runs, in the longest, and in the longest stretch that is there word for word (an exact phrase; the rest is proximity).
 
     ``index`` is the corpus's, if it was built before (``postings.build_index``, checkpointed); one index serves any
     number of searches. Null and empty texts carry nothing; null, empty and blank items leak nowhere; items whose text
@@ -421,8 +438,8 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
         for seg in segments(batches, its.vocabulary):
             got = search(its, seg)
             if got:
-                d, i, n, run = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), pa.array(n, pa.int32()), pa.array(run, pa.int32())], names=["item_id", "d", "n_words", "longest_run"])
+                d, i, *counts = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), *(pa.array(c, pa.int32()) for c in counts)], names=["item_id", "d", "n_words", "longest_run", "longest_phrase"])
 
-    found = lists.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int")
+    found = lists.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int, longest_phrase int")
     return found.withColumnRenamed("d", id_col)

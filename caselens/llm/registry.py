@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from .splitting import limits, oversized_items, split_oversized
 from .targets import sample_to_targets
 from .tokenizer import encode_documents
 
+#: The vocabulary file of problem 5; never copied into the repository. The environment may name another.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -126,7 +129,7 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents"), os.environ.get("CASELENS_VOCABULARY", VOCABULARY))
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

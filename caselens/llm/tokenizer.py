@@ -17,9 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Folder of the vocabulary files; they are never copied into this repository.
-TOKENIZER_DIR = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A vocabulary is broadcast; a file beyond this size is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces remembered by a worker; at the bound the memory starts anew, with no effect on results.
@@ -176,14 +173,14 @@ def encode_texts(texts: list[str | None], stretches: _Stretches) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
 
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, out_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``out_col`` array<int>: the ids of every row's text, without special tokens.
+def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """``id_col`` and ``out_col`` array<int>: the ids of every row's text by the vocabulary file of that path, without special tokens.
 
     Null and empty texts give an empty array; a blank text is white space and has ids. What looks like a
     special token is ordinary text. Repeated rows are encoded each; other columns are not read. The only data
     sent to the executors is the vocabulary, refused beyond ``MAX_VOCABULARY_BYTES``. No shuffle.
     """
-    path = vocabulary or f"{TOKENIZER_DIR}/{VOCABULARY}"
+    path = vocabulary
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = df.select(df[id_col], df[text_col].cast("string").alias("__text"))
     kind = source.schema[0].dataType.simpleString()

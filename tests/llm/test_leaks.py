@@ -36,7 +36,10 @@ def test_leaks(spark):
     }
     df = spark.createDataFrame([(d, t, 5) for d, (t, _) in docs.items()] + [(10, docs[10][0], 5)], "doc_id long, text string, item_id int")
     held = spark.createDataFrame([(i, t, None) for i, t in ITEMS] + [(90, None, "x"), (91, "  ", "x")], "item_id long, item_text string, doc_id string")
-    got = sorted((r.doc_id, r.item_id) for r in find_leaks(df, held).collect())
+    rows = find_leaks(df, held).collect()
+    got = sorted((r.doc_id, r.item_id) for r in rows)
+    phrase = {r.doc_id: r.longest_phrase for r in rows}
+    assert (phrase[10], phrase[11], phrase[12], phrase[16]) == (60, 20, 8, 15)
     want = sorted([(d, i) for d, (_, i) in docs.items() if i] + [(10, 1)])
     assert (set(got) - set(want), set(want) - set(got), len(got)) == (set(), set(), len(want))
     assert find_leaks(df.limit(0), held).count() == 0 and find_leaks(df, held.limit(0)).count() == 0

@@ -5,8 +5,8 @@ import random
 import pytest
 
 from caselens.llm import tokenizer as T
+from caselens.llm.registry import VOCABULARY as PATH
 
-PATH = f"{T.TOKENIZER_DIR}/{T.VOCABULARY}"
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
 
 
@@ -44,9 +44,9 @@ def test_texts_against_the_public_library():
 def test_tables(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, "hello world", "x"), (4, "hello world", "x"), (None, "a", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = sorted(((r.doc_id, r.ids) for r in T.encode_documents(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.ids) for r in T.encode_documents(df, PATH).collect()), key=str)
     assert got == sorted([(1, []), (2, []), (3, [220]), (4, [31373, 995]), (4, [31373, 995]), (None, [64])], key=str)
-    assert T.encode_documents(df.limit(0)).count() == 0
+    assert T.encode_documents(df.limit(0), PATH).count() == 0
 
 
 def test_a_memory_that_overflows_changes_nothing(monkeypatch):
