@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from caselens.functions.text import SPACE
 
+from . import png
+
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, skip_blank: bool = True, position: str | None = "_pos") -> DataFrame:
     """JSON lines under a schema. Blank lines are skipped; any other line that is no object fails the read.
@@ -88,7 +90,7 @@ def load_images(df: DataFrame, paths_col: str, key_cols: list[str], cap: int) ->
 def decoded(images: DataFrame, sizes: list[tuple[int, int]], decode: Callable[[bytes, list[tuple[int, int]]], list[list[float]]] | None = None) -> DataFrame:
     """path, pixels, error: the grey thumbnails of each size from one decoding; of an image that can't be decoded the error.
 
-    ``decode`` turns bytes into the grey values of every size; without it Pillow is used, if it is installed.
+    ``decode`` turns bytes into the grey values of every size; without it ``pillow_decode``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,10 +114,13 @@ def thumbnails(images: DataFrame, width: int, height: int, decode: Callable[[byt
 
 
 def pillow_decode(content: bytes, sizes: list[tuple[int, int]]) -> list[list[float]]:
-    """Grey thumbnails by Lanczos resampling. Pillow is imported here, so that nothing else needs it."""
+    """Grey thumbnails by Lanczos resampling: by Pillow, or of PNG files without it where it is not installed."""
     import io
 
-    from PIL import Image
+    try:
+        from PIL import Image
+    except ModuleNotFoundError:
+        return png.thumbnails(content, sizes)
 
     with Image.open(io.BytesIO(content)) as image:
         grey = image.convert("L")
@@ -123,10 +128,13 @@ def pillow_decode(content: bytes, sizes: list[tuple[int, int]]) -> list[list[flo
 
 
 def rgb_png(content: bytes) -> bytes:
-    """An image as an RGB PNG, by Pillow."""
+    """An image as an RGB PNG: by Pillow, or of a PNG without it where it is not installed."""
     import io
 
-    from PIL import Image
+    try:
+        from PIL import Image
+    except ModuleNotFoundError:
+        return png.rgb_png(content)
 
     out = io.BytesIO()
     with Image.open(io.BytesIO(content)) as image:

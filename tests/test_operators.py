@@ -121,12 +121,28 @@ def test_dense_topk_in_blocks(spark, monkeypatch):
     rows = [(i, v[i].tolist()) for i in range(60)] + [(60, None), (61, [float("nan")] * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, vector array<double>")
     monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "SLAB_BYTES", 400)
     got = retrieval.dense_topk(docs.withColumnRenamed("doc_id", "query_id").where("query_id < 30"), docs, 4).collect()
     want = {q: sorted(range(60), key=lambda d: (-round(float(v[q] @ v[d]), 6), d))[:4] for q in range(30)}
     assert {q: [r.doc_id for r in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] for q in range(30)} == want
     assert retrieval.dense_topk(docs.withColumnRenamed("doc_id", "query_id").where("false"), docs).count() == 0
 
 
+def test_maxsim_topk_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    many = {f"d{i:02d}": rng.normal(size=(rng.integers(1, 6), 4)) for i in range(40)}
+    rows = [(d, v.tolist()) for d, v in many.items()] + [("e1", []), ("e2", None), ("e3", [[float("nan")] * 4])]
+    docs = spark.createDataFrame(rows, "doc_id string, vectors array<array<double>>")
+    want = {q: sorted(many, key=lambda d: (-round(float((many[q] @ many[d].T).max(1).sum()), 6), d))[:3] for q in many if q < "d15"}
+    for name, value in (("BLOCK_QUERIES", 9), ("SLAB_BYTES", 600)):
+        monkeypatch.setattr(retrieval, name, value)
+    got = retrieval.maxsim_topk(docs.where("doc_id < 'd15'").withColumnRenamed("doc_id", "query_id"), docs).collect()
+    assert {q: [r.doc_id for r in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] for q in want} == want
+    assert retrieval.maxsim_topk(docs.where("false").withColumnRenamed("doc_id", "query_id"), docs).count() == 0
+
+
 def test_nearest_pair_and_verdict(spark):
     rec = spark.createDataFrame([("q1", True, [("u1",), ("u2",)]), ("q2", False, None), ("q3", False, [("zz",)])], "qid string, correct boolean, sources array<struct<u_id:string>>")
     qi = spark.createDataFrame([("q1", 0, "a", 0, 0), ("q1", 1, "b", 7, 0), ("q3", 0, "c", 1, 1)], "qid string, q_pos int, path string, ahash long, dhash long")
