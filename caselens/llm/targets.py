@@ -113,6 +113,7 @@ class Sampler:
         self.units = checkpointed(found.groupBy("plan_id", "item").agg(F.array_sort(F.collect_set("c")).alias("cell")))
         self.cells = checkpointed(self.units.groupBy("plan_id", "cell").agg(F.count("*").alias("n")))
         self._have: pd.DataFrame | None = None
+        self._sample: DataFrame | None = None
         self._solved: dict[bool, dict[int, Problem]] = {}
 
     def available(self) -> pd.DataFrame:
@@ -223,6 +224,8 @@ class Sampler:
         return self._drawn().select(F.col("plan_id").cast("int").alias("plan_id"), "item")
 
     def _drawn(self) -> DataFrame:
+        if self._sample is not None:
+            return self._sample
         w = self.weights().withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
         units = self.units.join(F.broadcast(w) if self._few_cells() else w, ["plan_id", "cell"]).where("p > 0")
         u = F.xxhash64("item", "plan_id", F.lit(self.seed))
@@ -237,6 +240,7 @@ class Sampler:
                 level = checkpointed(level)
             drawn = drawn.unionByName(level.where("p >= 1").select("plan_id", "item", "cell"))
             level = level.where("p < 1")
+        self._sample = drawn
         return drawn
 
     def _few_cells(self) -> bool:
