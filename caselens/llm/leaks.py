@@ -1,10 +1,10 @@
 """Held-out items that leak into a corpus, by a positional inverted index over the corpus (problem 6).
 
 The index (``postings.py``) holds the places of every term of the corpus. In each of its segments an item's lists are
-met from the rarest on, at equal offsets (place in the document less place in the item); what two rare lists bring up
-is looked for in the item's other lists, and pairs that share enough are checked over all their words: runs that
-follow the item nearly word by word, exact or with words changed, weighted by how rare a word is among the items, so
-that another question of the same make does not count.
+met from the rarest on, at equal offsets (place in the document less place in the item); what the rarest phrases
+bring up is looked for in the item's other lists, and pairs that share enough are checked over all their words: exact
+phrases, and runs that follow the item nearly word by word, judged by how they differ from it, so that another question
+of the same make does not count.
 """
 
 from __future__ import annotations
@@ -27,15 +27,13 @@ MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
 #: Words of one stretch that an item and a document must share; of several stretches (sentences in another order) in all,
 #: and in each.
 LEAST_WORDS, LEAST_IN_ALL, LEAST_OF_SEVERAL = 18, 22, 8
-#: Matches that must agree with each other, and the share of a run's tokens that must match.
-LEAST_RUN, LEAST_EVEN, TOKEN_SHARE = 5, 3, 0.6
-#: The share of a run's weight that must match: of a run over several sentences, shorter and longer than ``LONG`` words, of one
-#: of whose weight a single sentence has more than ``IN_ONE``, and of each of several runs. MISSED: see ``_best_part``.
-LONG, SHORT_SHARE, LONG_SHARE, ONE_SENTENCE, IN_ONE, OF_SEVERAL, MISSED = 26, 0.88, 0.82, 0.96, 0.72, 0.95, 2.5
-#: Beside these shares, a run that follows the item in at least FOLLOWED of its words is judged by how it differs: what fits
-#: the words around it in the items, or a number for a number, is how a sister question differs (ALIKE, in log odds), any
-#: other word is how an altered copy does (OTHER). Chances of a word in a sister question keep off 0 and 1 by SURE; LEAST_ODDS is a leak.
-FOLLOWED, ALIKE, OTHER, SURE, LEAST_ODDS, SPARSE = 0.77, -6.0, 1.5, 0.03, 5.0, 0.8
+#: Matches that must agree with each other, and of these the ones at the very same offset.
+LEAST_RUN, LEAST_EVEN = 5, 3
+#: A run must follow the item in FOLLOWED of its words, each of several runs in FOLLOWED_OF_SEVERAL. It is judged by how it agrees and differs:
+#: words that sister questions lack speak for a leak by the log of their chance there; what fits the words around it in the
+#: items, or a number for a number, is how a sister question differs (ALIKE), any other word is how an altered copy does
+#: (OTHER). Chances keep off 0 and 1 by SURE; LEAST_ODDS is a leak. SPARSE: see ``_dense_part``.
+FOLLOWED, FOLLOWED_OF_SEVERAL, ALIKE, OTHER, SURE, LEAST_ODDS, SLOT, SPARSE = 0.77, 0.95, -6.0, 1.5, 0.03, 5.0, 6, 0.8
 #: Offsets of one run differ by at most so many words from match to match; a run's matches lie that near each other.
 DRIFT, GAP = 3, 6
 #: Phrases of a stretch whose lists are met first; phrases that must meet at one offset; tokens in ``LEAST_WORDS`` in a row that
@@ -45,30 +43,23 @@ RAREST, LEAST_MET, LEAST_NEAR, LEAST_OWN = 12, 4, 12, 0.6
 
 
 class Items:
-    """The held-out items: tokens with their words and sentences, weights, and the index of neighbouring tokens."""
+    """The held-out items: tokens with their words, the phrases of two that they hold, and how likely a sister question has a token too."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         split = [(i, _sentences(t)) for i, t in rows]
         closing = Counter(tuple(x for w in ss[-1] for x in w) for ss in {t: _sentences(t) for _, t in rows}.values() if len(ss) > 1)
-        self.ids, self.tokens, self.word_of, self.sentence_of = [], [], [], []
+        self.ids, self.tokens, self.word_of = [], [], []
         for i, sentences in split:
             if len(sentences) > 1 and closing[tuple(x for w in sentences[-1] for x in w)] > 1:
                 sentences = sentences[:-1]  # a stock question
-            words = [(k, w) for k, ss in enumerate(sentences) for w in ss]
-            flat = [(n, k, x) for n, (k, w) in enumerate(words) for x in w]
+            flat = [(n, x) for n, word in enumerate(w for ss in sentences for w in ss) for x in word]
             if flat:
                 self.ids.append(i)
                 self.word_of.append(np.array([f[0] for f in flat]))
-                self.sentence_of.append(np.array([f[1] for f in flat]))
-                self.tokens.append([f[2] for f in flat])
+                self.tokens.append([f[1] for f in flat])
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.tokens for w in ws))}
         self.vocabulary[NUMBERS] = len(self.vocabulary)
         self.terms = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in self.tokens]
-        n_items = max(1, len(self.ids))
-        held = np.zeros(len(self.vocabulary))
-        for t in self.terms:
-            held[np.unique(t)] += 1
-        self.weight = np.log((n_items + 1) / np.maximum(held, 1)) + 0.01
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.terms])]).astype(np.int64)
         self.term = np.concatenate(self.terms).astype(np.int64) if self.terms else np.zeros(0, np.int64)
         self.item = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
@@ -157,18 +148,6 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return np.split(where, np.flatnonzero(np.diff(where) > GAP) + 1) if len(where) else []
 
 
-def _best_part(run: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The part of a run with the greatest sum of matched weight less ``MISSED`` times the missing: where a document goes
-    on in the manner of the item but in other words, the run ends."""
-    a, b = int(run[0]), int(run[-1]) + 1
-    gain = -MISSED * weight[a:b]
-    gain[run - a] = weight[run]
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    end = int((total[1:] - np.minimum.accumulate(total[:-1])).argmax()) + 1
-    start = int(total[:end].argmin())
-    return run[(run >= a + start) & (run < a + end)]
-
-
 def _dense_part(run: np.ndarray) -> np.ndarray:
     """The part of a run with the greatest count of matched tokens less ``SPARSE`` times the missing ones."""
     gain = np.full(int(run[-1] - run[0]) + 1, -SPARSE)
@@ -201,7 +180,7 @@ def _difference(items: Items, item: int, k: int, z: int, place: np.ndarray, at:
 
 def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) -> tuple[np.ndarray, float]:
     """The part of a run that is likeliest an altered copy rather than a sister question, the longest of like ones, and its
-    log odds. Neighbouring slot words are one slot, and a slot said again is no more evidence."""
+    log odds. Up to ``SLOT`` neighbouring words that sister questions lack are one piece of evidence, and what is said again is no more."""
     a, b = int(run[0]), int(run[-1]) + 1
     chance, terms = items.slot[item], items.terms[item]
     hit = np.zeros(b - a, bool)
@@ -214,7 +193,7 @@ def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) ->
                 z += 1
             odds[k - a] = _difference(items, item, k, z, *doc)
         elif chance[k] < 0.5:
-            while z < b and hit[z - a] and chance[z] < 0.5:
+            while z < b and z - k < SLOT and hit[z - a] and chance[z] < 0.5:
                 z += 1
             words = tuple(terms[k:z].tolist())
             if words not in said:
@@ -228,32 +207,38 @@ def _altered_part(items: Items, item: int, run: np.ndarray, *doc: np.ndarray) ->
     return run[(run >= a + start) & (run < a + end)], float(gain.max())
 
 
-def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[int, int]:
-    """Words in all runs of an item that a document follows well, and in the longest; (0, 0) if that is no leak.
+def longest_phrase(words: np.ndarray, place: np.ndarray, at: np.ndarray) -> int:
+    """Words of the longest stretch of an item that a document has token by token."""
+    order = np.lexsort((place, at - place))
+    place, offset = place[order], (at - place)[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(offset) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    return int((words[place[last]] - words[place[first]]).max()) + 1 if len(first) else 0
+
+
+def score(items: Items, item: int, place: np.ndarray, at: np.ndarray, term: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[int, int, int]:
+    """Words in all runs of an item that a document follows, in the longest, and in the longest exact phrase; (0, 0, 0) if that
+    is no leak: neither a phrase of ``LEAST_WORDS`` nor a run of them, nor several shorter runs of ``LEAST_IN_ALL``.
 
     ``term`` and ``where`` are the document's item words and their places, ``number`` the places of its numbers."""
-    words, sentences, weight = items.word_of[item], items.sentence_of[item], items.weight[items.terms[item]]
-    best, total, good = 0, 0, 0
+    words = items.word_of[item]
+    phrase = longest_phrase(words, place, at)
+    best, total, good = phrase if phrase >= LEAST_WORDS else 0, 0, 0
     for whole in runs(len(words), place, at):
-        dense = _dense_part(whole)
-        run, odds = _altered_part(items, item, dense, place, at, term, where, number) if words[dense[-1]] - words[dense[0]] + 1 >= LEAST_WORDS else (dense, 0.0)
-        if odds >= LEAST_ODDS and len(run):
-            span, followed = int(words[run[-1]] - words[run[0]] + 1), len(np.unique(words[run]))
-            if span >= LEAST_WORDS and followed >= FOLLOWED * span:
-                best = max(best, span)
-        run = _best_part(whole, weight)
-        a, b = run[0], run[-1] + 1
-        span = int(words[b - 1] - words[a] + 1)
-        if len(run) < LEAST_RUN or len(run) < TOKEN_SHARE * (b - a) or span < LEAST_RUN:
+        run = _dense_part(whole)
+        if words[run[-1]] - words[run[0]] + 1 < LEAST_OF_SEVERAL:
             continue
-        share = weight[run].sum() / weight[a:b].sum()
-        if share >= OF_SEVERAL and span >= LEAST_OF_SEVERAL:
-            total, good = total + span, good + 1
-        held = np.bincount(sentences[run], weight[run])
-        least = ONE_SENTENCE if held.max() > IN_ONE * held.sum() else SHORT_SHARE if span < LONG else LONG_SHARE
-        if span >= LEAST_WORDS and share >= least:
+        run, odds = _altered_part(items, item, run, place, at, term, where, number)
+        if odds < LEAST_ODDS or not len(run):
+            continue
+        span, followed = int(words[run[-1]] - words[run[0]] + 1), len(np.unique(words[run]))
+        if span >= LEAST_WORDS and followed >= FOLLOWED * span:
             best = max(best, span)
-    return (max(best, total), best) if best or (good > 1 and total >= LEAST_IN_ALL) else (0, 0)
+        if span >= LEAST_OF_SEVERAL and followed >= FOLLOWED_OF_SEVERAL * span:
+            total, good = total + span, good + 1
+    return (max(best, total), best, phrase) if best or (good > 1 and total >= LEAST_IN_ALL) else (0, 0, 0)
 
 
 def _lists(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -374,17 +359,6 @@ def _met(items: Items, seg: Segment, pair: np.ndarray, early: np.ndarray, late:
     return pairs[np.logical_or.reduceat((near >= LEAST_NEAR) & (mine >= LEAST_OWN * all_), ends - n)]
 
 
-def longest_phrase(words: np.ndarray, place: np.ndarray, at: np.ndarray) -> int:
-    """Words of the longest stretch of an item that a document has token by token."""
-    order = np.lexsort((place, at - place))
-    place, offset = place[order], (at - place)[order]
-    new = np.ones(len(place), bool)
-    new[1:] = (np.diff(place) != 1) | (np.diff(offset) != 0)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
-    return int((words[place[last]] - words[place[first]]).max()) + 1 if len(first) else 0
-
-
 def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int, int]]:
     """(document, item, words, longest run, longest phrase) of every leak in a segment."""
     pairs = candidates(items, seg)
@@ -400,9 +374,9 @@ def search(items: Items, seg: Segment) -> list[tuple[int, int, int, int, int]]:
         lo, hi = np.searchsorted(words, t, "left"), np.searchsorted(words, t, "right")
         n = hi - lo
         place, at = order[_lists(lo, n)], np.repeat(p, n)
-        total, longest = score(items, i, place, at, t, p, digits) if len(at) else (0, 0)
+        total, longest, phrase = score(items, i, place, at, t, p, digits) if len(at) else (0, 0, 0)
         if total:
-            out.append((d, i, total, longest, longest_phrase(items.word_of[i], place, at)))
+            out.append((d, i, total, longest, phrase))
     return out
 
 
