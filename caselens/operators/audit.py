@@ -80,7 +80,9 @@ def mcnemar_pairwise(latest: DataFrame, baseline: str = BASELINE) -> DataFrame:
     chi2, p = mcnemar(F.col("b"), F.col("c"))
     tested = counts.where(F.col("condition") != baseline).join(F.broadcast(base)).withColumn("chi2", chi2).withColumn("p_raw", p)
     out = with_holm(tested, "p_raw", ["condition"])
-    return out.select("condition", "b", "c", F.round("chi2", 6).alias("chi2"), F.round("p_raw", 6).alias("p_raw"), F.round("p_holm", 6).alias("p_holm"), F.round((F.col("acc") - F.col("base_acc")) * 100, 6).alias("delta_pp"), (F.col("p_holm") < 0.05).alias("significant"))
+    tests = [F.round(c, 6).alias(c) for c in ("chi2", "p_raw", "p_holm")]
+    delta = F.round((F.col("acc") - F.col("base_acc")) * 100, 6).alias("delta_pp")
+    return out.select("condition", "b", "c", *tests, delta, (F.col("p_holm") < 0.05).alias("significant"))
 
 
 def mcnemar_by_stratum(latest: DataFrame, baseline: str = BASELINE, target: str | None = None) -> DataFrame:

@@ -18,8 +18,11 @@ def nearest_pair(records: DataFrame, question_images: DataFrame, case_images: Da
     ``top_k`` sources the one with the least sum of both distances counts, the first of equals; without a pair under the
     greatest sum both are 64.
     """
-    sources = records.select("qid", F.posexplode(F.slice(F.coalesce(F.col("sources"), F.expr("array()").cast(records.schema["sources"].dataType)), 1, top_k)).alias("s_pos", "s")).select("qid", "s_pos", F.col("s.u_id").alias("u_id"))
-    pairs = sources.join(case_images.select("u_id", "img_pos", F.col("path").alias("c_path"), F.col("ahash").alias("ca"), F.col("dhash").alias("cd")), "u_id").join(question_images.select("qid", "q_pos", F.col("path").alias("q_path"), F.col("ahash").alias("qa"), F.col("dhash").alias("qd")), "qid")
+    shown = F.slice(F.coalesce(F.col("sources"), F.expr("array()").cast(records.schema["sources"].dataType)), 1, top_k)
+    sources = records.select("qid", F.posexplode(shown).alias("s_pos", "s")).select("qid", "s_pos", F.col("s.u_id").alias("u_id"))
+    of_case = case_images.select("u_id", "img_pos", F.col("path").alias("c_path"), F.col("ahash").alias("ca"), F.col("dhash").alias("cd"))
+    of_question = question_images.select("qid", "q_pos", F.col("path").alias("q_path"), F.col("ahash").alias("qa"), F.col("dhash").alias("qd"))
+    pairs = sources.join(of_case, "u_id").join(of_question, "qid")
     a, d = hamming(F.col("qa"), F.col("ca")), hamming(F.col("qd"), F.col("cd"))
     scored = pairs.select("qid", "u_id", "q_path", "c_path", "q_pos", "s_pos", "img_pos", a.alias("a"), d.alias("d")).where(F.col("a") + F.col("d") < 2 * BITS)
     best = scored.groupBy("qid").agg(F.min_by(F.struct("a", "d", "u_id", "q_path", "c_path"), F.struct(F.col("a") + F.col("d"), "q_pos", "s_pos", "img_pos")).alias("m"))

@@ -74,7 +74,8 @@ def coverage(questions: DataFrame, cases: DataFrame, threshold: int = 90) -> Dat
     gold = gold_texts(questions).withColumn("n", normalise(F.col("gold_text")))
     matchable = (F.length("n") >= 4) & (F.size(concept_tokens(F.col("gold_text"))) > 0)
     case = cases.select("case_pos", "u_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("case_diagnosis", F.lit("")).alias("dx"))
-    sides = case.select("case_pos", "u_id", "title", "dx", F.explode(F.array(F.struct(F.lit("t").alias("side"), normalise(F.col("title")).alias("h")), F.struct(F.lit("d").alias("side"), normalise(F.col("dx")).alias("h")))).alias("x")).select("case_pos", "u_id", "title", "dx", "x.*").where("h <> ''")
+    each = F.explode(F.array(normalise(F.col("title")), normalise(F.col("dx")))).alias("h")
+    sides = case.select("case_pos", "u_id", "title", "dx", each).where("h <> ''")
     hays = sides.select("h").distinct()
     needles = gold.where(matchable).select("n").distinct()
     first = sides.groupBy("h").agg(F.min_by(F.struct("case_pos", "u_id", "title", "dx"), "case_pos").alias("case"))
@@ -89,7 +90,8 @@ def coverage(questions: DataFrame, cases: DataFrame, threshold: int = 90) -> Dat
     fuz = both.select("n", F.concat(F.lit("fuzzy"), F.col("score").cast("string")).alias("match_strategy"), F.col("u_id").alias("matched_uid"), F.when(s2 >= s1, F.col("dx")).otherwise(F.col("title")).alias("matched_dx"))
     found = gold.where(matchable).join(sub.unionByName(fuz), "n", "left")
     out = ["qid", "covered", "match_strategy", "matched_uid", "matched_dx", "gold_text", "body_system"]
-    none = gold.where(~F.coalesce(matchable, F.lit(False))).select("qid", F.lit(False).alias("covered"), F.lit("non-matchable-gold").alias("match_strategy"), F.lit(None).cast("string").alias("matched_uid"), F.lit(None).cast("string").alias("matched_dx"), "gold_text", "body_system")
+    nothing = F.lit(None).cast("string")
+    none = gold.where(~F.coalesce(matchable, F.lit(False))).withColumns({"covered": F.lit(False), "match_strategy": F.lit("non-matchable-gold"), "matched_uid": nothing, "matched_dx": nothing})
     return found.withColumn("covered", F.col("match_strategy").isNotNull()).select(*out).unionByName(none.select(*out))
 
 

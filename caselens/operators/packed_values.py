@@ -24,7 +24,11 @@ from caselens.operators.skew import join_unique
 from caselens.session import checkpointed
 
 #: Entries that say there is no value. Fixed values.
-FILLERS = {"n/a", "na", "n.a.", "none", "nil", "null", "unknown", "not applicable", "not available", "not assigned", "none given", "none listed", "not given", "not known", "not specified", "unspecified", "pending", "tbd", "see above", "see text", "-", "--", "---", "–", "—", "?", "??", "???", ".", "..", "...", "…", "*", "x", "xx", "xxx"}
+FILLERS = {
+    "n/a", "na", "n.a.", "none", "nil", "null", "unknown", "not applicable", "not available", "not assigned", "none given", "none listed",
+    "not given", "not known", "not specified", "unspecified", "pending", "tbd", "see above", "see text", "-", "--", "---", "–", "—", "?", "??", "???",
+    ".", "..", "...", "…", "*", "x", "xx", "xxx",
+}
 _LABEL = re.compile(r"\s*[^\W\d_][^\W_]*(?:[ /-][^\W_]+){0,4}\s*:\s+(?=\S)")
 _NUMBER = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,3})[.)](?!\d)\s*")
 _BULLET = re.compile(r"(?:^|(?<=[\r\n]))[ \t]*[-*•·‣▪●–—][ \t]*|(?<=\s)[•‣▪●][ \t]*")
