@@ -61,15 +61,16 @@ def sparse_embed(df: DataFrame, id_col: str, text_col: str, load: Callable[[], C
 
 
 def hashed_words(dims: int = 64) -> Callable[[], Callable[[list[str]], list]]:
-    """A model that needs no weights, to stand in for one: each word counts in a place and with a sign that its hash picks."""
+    """A model that needs no weights, to stand in for one: each word between blanks counts in a place and with a sign that its hash picks."""
 
     def load():
         def model(texts: list[str]) -> list:
             out = np.zeros((len(texts), dims))
             for i, text in enumerate(texts):
-                for w in text.lower().split():
-                    h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                    out[i, h % dims] += 1 if h >> 63 else -1
+                for w in text.split(" "):
+                    if w:
+                        h = int(hashlib.md5(w.encode()).hexdigest()[:7], 16)
+                        out[i, h % dims] += 1 if h // dims % 2 else -1
             return list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12))
 
         return model

@@ -268,7 +268,6 @@ def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "d
 
     parsed = checkpointed(fields.mapInPandas(certain_values, "sid string, t string, v string, w long, words int").withColumn("v", F.xxhash64("v")))
     certain, open_fields = parsed.where("sid is null"), parsed.where("sid is not null")
-    fixed = certain.groupBy("v").agg(F.sum("w").cast("double").alias("c"))
     sizes = parsed.groupBy(F.col("sid").isNull().alias("known"), F.least("words", F.lit(20)).alias("words")).agg(F.sum("w").alias("n"), F.max("words").alias("longest")).collect()
     fixed_lengths = {r["words"]: float(r["n"]) for r in sizes if r["known"]}
     longest = max((r["longest"] for r in sizes), default=0)
@@ -287,6 +286,8 @@ def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "d
     shape = "sid string, g int, a int, b int, v {}, e double, words int, w long, inside string, before string, done boolean, moved double"
     guess = open_fields.mapInPandas(first_guess, shape.format("string")).withColumn("v", F.xxhash64("v"))
     active, settled = checkpointed(guess), []
+    # of the values that stand whole only those that an open stretch may be are counted, once
+    fixed = checkpointed(certain.groupBy("v").agg(F.sum("w").cast("double").alias("c")).join(active.select("v").distinct(), "v", "left_semi"))
     inner = dict.fromkeys(KINDS.values(), 0.05)
 
     def everything() -> DataFrame:

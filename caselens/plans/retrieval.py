@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.functions import vectors as V
-from caselens.operators import contamination, corpus, generation, prompts, retrieval
+from caselens.functions.text import normalise
+from caselens.operators import contamination, corpus, embedding, generation, prompts, retrieval
 from caselens.operators.records import correctness, first_per_key, last_per_key
-from caselens.session import table
+from caselens.session import checkpointed, table
 
 from .corpus import IMAGES, NOT_BLANK, STOP, TEXTS, _cases, _questions, _texts, norm_sql, tokens_sql
 
@@ -50,6 +51,15 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.reciprocal_rank_fusion([_recorded(spark, d), sparse_topk(spark, d)], 3, "qid", "u_id")
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse search fused: the texts embedded by a stand-in for a model, the terms from the inverted index."""
+    docs, model = _docs(spark, d).select("id", "text"), embedding.hashed_words(64)
+    postings, terms = retrieval.inverted_index(docs, "id", "text")
+    vectors = embedding.embed(docs.select("id", normalise(F.col("text")).alias("t")), "t", model).select("id", "vector")
+    asked = embedding.embed(_asked(spark, d).select(F.col("id").alias("qid"), "question", normalise(F.col("question")).alias("t")), "t", model)
+    return retrieval.search_collection({"postings": postings, "terms": checkpointed(terms), "vectors": vectors}, asked)
+
+
 def _prompted(spark: SparkSession, d: str) -> DataFrame:
     """Every question with its context and the images of its retrieved cases, once a condition."""
     texts = _texts(spark, d).where(~corpus.is_blank(F.col("text")))
@@ -199,6 +209,20 @@ QUERIES = {
         hybrid_rrf,
         f"WITH {BM25}, {RECORDED}, both_ AS (SELECT qid, u_id, rank FROM recorded UNION ALL SELECT qid, u_id, rank FROM sparse), fused AS (SELECT qid, u_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_ GROUP BY 1, 2) SELECT qid, u_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, u_id)::INT AS rank, score FROM fused QUALIFY rank <= 3",
     ),
+    "hybrid_search": (
+        hybrid_search,
+        f"""WITH {BM25}, words AS (SELECT 'd' AS side, u_id AS id, unnest(string_split({norm_sql("text")}, ' ')) AS w FROM texts WHERE {NOT_BLANK} UNION ALL SELECT 'q', id, unnest(string_split({norm_sql("question")}, ' ')) FROM ask WHERE question IS NOT NULL),
+ h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 7))::BIGINT AS h FROM words WHERE w <> ''), c AS (SELECT side, id, h % 64 AS i, sum(CASE WHEN h // 64 % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL),
+ v AS (SELECT side, id, list(x) AS xs, list(i) AS js, greatest(sqrt(sum(x * x)), 1e-12) AS norm FROM c GROUP BY side, id),
+ dense AS (SELECT map_from_entries(list_zip(js, xs)) AS m, * FROM v),
+ vec AS (SELECT side, id, list_transform(range(0, 64), lambda k: coalesce(m[k], 0.0) / norm) AS vector FROM dense UNION ALL
+  SELECT 'd', u_id, list_transform(range(0, 64), lambda k: 0.0::DOUBLE) FROM texts WHERE {NOT_BLANK} AND u_id NOT IN (SELECT id FROM v WHERE side = 'd') UNION ALL
+  SELECT 'q', id, list_transform(range(0, 64), lambda k: 0.0::DOUBLE) FROM ask WHERE question IS NOT NULL AND id NOT IN (SELECT id FROM v WHERE side = 'q')),
+ near AS (SELECT q.id AS qid, d.id AS u_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.vector, d.vector), 6) DESC, d.id) AS rank FROM vec q, vec d WHERE q.side = 'q' AND d.side = 'd' QUALIFY rank <= 20),
+ deep AS (SELECT qid, u_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, u_id) AS rank FROM scored QUALIFY rank <= 20),
+ fused AS (SELECT qid, u_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS similarity FROM (SELECT * FROM near UNION ALL SELECT * FROM deep) GROUP BY 1, 2)
+ SELECT qid, u_id, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, u_id)::INT AS rank, similarity FROM fused QUALIFY rank <= 3""",
+    ),
     "format_context": (
         context_of_documents,
         f"WITH {CONTEXT} SELECT qid, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank, u_id) AS context FROM recorded JOIN live USING (u_id) GROUP BY qid",
