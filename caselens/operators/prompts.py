@@ -12,6 +12,8 @@ SYSTEM_PROMPT = (
     "include reference cases (similar medical cases retrieved from a teaching-file corpus, each with an image and/or a clinical description). "
     "Please reason step by step, and put the final answer in \\boxed{X} where X is the single letter (A through J) of the chosen option."
 )
+#: The headings of the question's and the context's block.
+QUESTION_HEAD, CONTEXT_HEAD = "Question:\n", "\n\nReference cases (text):\n"
 _PART = "struct<type:string,text:string>"
 
 
@@ -29,7 +31,7 @@ def attachments(docs: Column, cap: int = 20, distinct: bool = True) -> Column:
 def user_content(question: Column, context: Column, n_question: Column, n_retrieved: Column) -> Column:
     """Image placeholders of the question, the text block, placeholders of the retrieved images."""
     image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")).cast(_PART)
-    text = F.concat(F.lit("Question:\n"), question, F.coalesce(F.concat(F.lit("\n\nReference cases (text):\n"), F.nullif(context, F.lit(""))), F.lit("")))
+    text = F.concat(F.lit(QUESTION_HEAD), question, F.coalesce(F.concat(F.lit(CONTEXT_HEAD), F.nullif(context, F.lit(""))), F.lit("")))
     block = F.struct(F.lit("text").alias("type"), text.alias("text")).cast(_PART)
     return F.concat(F.array_repeat(image, n_question), F.array(block), F.array_repeat(image, n_retrieved))
 

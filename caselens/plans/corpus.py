@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.functions.text import concept_tokens, is_fuzzy_match, is_substring, normalise, token_set_ratio
+from caselens.functions.text import STOP_WORDS, concept_tokens, is_fuzzy_match, is_substring, normalise, token_set_ratio
 from caselens.operators import audit, corpus, coverage
 from caselens.operators.prompts import fan_out
 from caselens.operators.records import first_per_key, running_index, seeded_sample
@@ -18,7 +18,7 @@ def norm_sql(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_{SP}]', ' ', 'g'), '[{SP}]+', ' ', 'g'))"
 
 
-STOP = "['the','a','of','and','or','in','on','to','with','by','for']"
+STOP = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def tokens_sql(x: str) -> str:

@@ -71,15 +71,19 @@ LENIENT_SQL = [
 ]
 
 
+#: A letter alone on a line, and an answer's heading.
+LONE_SQL, PREFIX_SQL = r"^\(?\s*([A-J])\s*[\)\.,;:]?\s*$", r"^\s*(?:A|Answer|ANSWER)\s*[:\-]\s*"
+
+
 def strict_sql(x: str) -> str:
     raw = strip_sql(x)
     lines = rf"list_filter(list_transform(regexp_split_to_array({raw}, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda s: {strip_sql('s')}), lambda s: s <> '')"
-    lone = r"^\(?\s*([A-J])\s*[\)\.,;:]?\s*$"
+    lone = LONE_SQL
     return "coalesce(" + ", ".join([*[_hit(raw, p) for p in STRICT_SQL], _hit(f"{lines}[-1]", lone), _hit(f"{lines}[1]", lone)]) + ")"
 
 
 def lenient_sql(x: str) -> str:
-    rest = rf"regexp_replace({x}, '^\s*(?:A|Answer|ANSWER)\s*[:\-]\s*', '')"
+    rest = f"regexp_replace({x}, '{PREFIX_SQL}', '')"
     return "coalesce(" + ", ".join(_hit(rest, p) for p in LENIENT_SQL) + ")"
 
 
