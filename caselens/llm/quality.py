@@ -39,6 +39,9 @@ _END = frozenset(".!?:;\"'”’)»…。")
 _STRIP = ".,;:!?()[]\"'“”‘’«»„…¿¡*_\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _PLAIN = frozenset(".,;:-()'\"’\u200b\u200c\u200d\u2060\ufeff\u00ad")
 _TAIL = " \t\r\n\xa0\u200b\u200c\u200d\u2060\ufeff"
+_UNSEEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+#: Words that number the entries of a list and are common words besides. Fixed values.
+_MARKS = frozenset(["no"])
 _INSIDE = re.compile(r"[^\W\d_]+(?:['’.-][^\W\d_]+)*")
 _FIELD = 40
 _MASK = (1 << _FIELD) - 1
@@ -49,7 +52,7 @@ class _Words(dict):
     of letters only, number, separator, letters in one case, before a comma or semicolon."""
 
     def __missing__(self, word: str) -> int:
-        core = word.strip(_STRIP)
+        core = _UNSEEN.sub("", word).strip(_STRIP)
         symbols = sum(not c.isalnum() and c not in _PLAIN for c in word)
         letters = bool(core) and _INSIDE.fullmatch(core) is not None
         clean = letters and (core.islower() or core.isupper() or core[1:].islower() or "-" in core or "'" in core)
@@ -86,6 +89,9 @@ def text_stats(text: str | None) -> list[float]:
         n = len(own)
         ended += line.rstrip(_TAIL)[-1:] in _END
         marked = _BULLET.match(line) is not None
+        if marked and own[0].lower() in _MARKS:
+            total -= 1 << _FIELD * 4  # the word is a mark, not one of a sentence
+            packed -= 1 << _FIELD * 4
         bullets += marked
         if n < 5:
             short += n
