@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.operators.skew import join_unique
+from caselens.operators.skew import hot_keys, join_unique
 from caselens.session import checkpointed
 
 #: Entries that say there is no value. Fixed values.
@@ -286,6 +286,7 @@ def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "d
     shape = "sid string, g int, a int, b int, v {}, e double, words int, w long, inside string, before string, done boolean, moved double"
     guess = open_fields.mapInPandas(first_guess, shape.format("string")).withColumn("v", F.xxhash64("v"))
     active, settled = checkpointed(guess), []
+    hot = hot_keys(active.groupBy("v").agg(F.count("*").alias("n")), "v")
     # of the values that stand whole only those that an open stretch may be are counted, once
     fixed = checkpointed(certain.groupBy("v").agg(F.sum("w").cast("double").alias("c")).join(active.select("v").distinct(), "v", "left_semi"))
     inner = dict.fromkeys(KINDS.values(), 0.05)
@@ -309,11 +310,8 @@ def split_packed(df: DataFrame, key_col: str, text_col: str, value_col: str = "d
 
     def by_field(rows: DataFrame) -> DataFrame:
         """The rows of each field with the present counts of their values."""
-        known = rows.select("v", F.lit(0.0).alias("c"), F.lit(1).alias("n"))
-        for part in (everything().select("v", "e"), fixed.select("v", "c")):
-            known = known.unionByName(part.toDF("v", "c").withColumn("n", F.lit(0)))
-        counts = known.groupBy("v").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).where("n > 0")
-        met = join_unique(rows, counts.select("v", "c"), "v", counts=counts.select("v", "n"))
+        counts = everything().select("v", F.col("e").alias("c")).unionByName(fixed).groupBy("v").agg(F.sum("c").alias("c"))
+        met = join_unique(rows, counts, "v", hot=hot)
         return met.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b", "v", "e", "c", "words", "w", "inside", "before"))).alias("s"))
 
     rounds = 0
