@@ -162,7 +162,7 @@ class Sampler:
             return self._solved[least]
         state: dict[int, Problem] = {}
         for plan_id, plan in self.available().groupby("plan_id"):
-            d, n = float(plan["sample_fraction"].iloc[0]), plan["available"].to_numpy(float)
+            d, n = max(float(plan["sample_fraction"].iloc[0]), 1e-6), plan["available"].to_numpy(float)  # nothing can be tilted from 0
             goal = np.minimum(plan["needed"].to_numpy(float), n)
             if not least:
                 for _, rows in plan.reset_index(drop=True).groupby("field_name"):

@@ -59,6 +59,14 @@ def test_gaps_come_from_the_calibration(spark, monkeypatch):
     assert [r.category for r in Sampler(questions(spark), plans, "id").gaps().collect()] == ["beta"]
 
 
+def test_floors_without_a_fraction(spark):
+    plans = spark.createDataFrame([(1, "body", "alpha", 0.0, 5, 0.0), (1, "body", "beta", None, 0, None), (2, "body", "alpha", 1.0, 0, 1.0), (3, None, "x", 1.0, 0, 0.5)], PLAN)
+    s = Sampler(questions(spark), plans, "id")
+    got = {(r.plan_id, r.category): (r.drawn, r.converged) for r in s.report().collect()}
+    assert got == {(1, "alpha"): (5, True), (1, "beta"): (0, True), (2, "alpha"): (300, True)}
+    assert [(r.plan_id, r.category) for r in s.gaps().collect()] == [(2, "alpha")]
+
+
 def test_a_gap_given_to_the_others(spark):
     plans = spark.createDataFrame([(1, "body", "alpha", 0.5, 0, 0.5), (1, "body", "beta", 0.3, 0, 0.5), (1, "body", "gamma", 0.2, 0, 0.5)], PLAN)
     for redistribute, size in ((False, 168), (True, 200)):
