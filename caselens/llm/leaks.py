@@ -413,7 +413,8 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
             got = search(its, seg)
             if got:
                 d, i, *counts = zip(*got)
-                yield pa.RecordBatch.from_arrays([pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), *(pa.array(c, pa.int32()) for c in counts)], names=["item_id", "d", "n_words", "longest_run", "longest_phrase"])
+                columns = [pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), *(pa.array(c, pa.int32()) for c in counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "d", "n_words", "longest_run", "longest_phrase"])
 
     found = lists.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int, longest_phrase int")
     return found.withColumnRenamed("d", id_col)

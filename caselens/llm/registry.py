@@ -154,7 +154,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_gaps": p1_gaps, "p1_sample": p1_sample, "p1_report": p1_report, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_checks": p2_checks, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p4_names": p4_names, "p5_ids": p5_ids, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_stats": p7_stats, "p7_counts": p7_counts}
+    found = [p1_found, p1_gaps, p1_sample, p1_report, p2_found, p2_pieces, p2_checks, p4_found, p4_unmatched, p4_names, p5_ids, p6_found, p6_leaks, p7_found, p7_stats, p7_counts]
+    return {f.__name__: f for f in found}
 
 
 P1_SQL = r"""WITH q AS (SELECT DISTINCT id, f, lower(regexp_replace(v, '[^\p{L}]', '', 'g')) AS label FROM (
