@@ -41,20 +41,24 @@ DRIFT, GAP = 3, 6
 RAREST, LEAST_MET, LEAST_NEAR, LEAST_OWN = 12, 4, 12, 0.6
 
 
-
 class Items:
     """The held-out items: tokens with their words, the phrases of two that they hold, and how likely a sister question has a token too."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         split = [(i, _sentences(t)) for i, t in rows]
-        closing = Counter(tuple(x for w in ss[-1] for x in w) for ss in {t: _sentences(t) for _, t in rows}.values() if len(ss) > 1)
-        self.ids, self.tokens, self.word_of = [], [], []
+        unlike = {tuple(x for s in ss for w in s for x in w): ss for _, ss in split}
+        closing = Counter(tuple(x for w in ss[-1] for x in w) for ss in unlike.values() if len(ss) > 1)
+        self.ids, self.tokens, self.word_of, known = [], [], [], {}
         for i, sentences in split:
             if len(sentences) > 1 and closing[tuple(x for w in sentences[-1] for x in w)] > 1:
                 sentences = sentences[:-1]  # a stock question
             flat = [(n, x) for n, word in enumerate(w for ss in sentences for w in ss) for x in word]
-            if flat:
-                self.ids.append(i)
+            same = tuple(x for _, x in flat)
+            if same in known:
+                self.ids[known[same]].append(i)  # said twice it is one item, not its own sister
+            elif flat:
+                known[same] = len(self.ids)
+                self.ids.append([i])
                 self.word_of.append(np.array([f[0] for f in flat]))
                 self.tokens.append([f[1] for f in flat])
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.tokens for w in ws))}
@@ -410,10 +414,10 @@ def find_leaks(corpus: DataFrame, heldout: DataFrame, id_col: str = "doc_id", te
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its = sent.value
         for seg in segments(batches, its.vocabulary):
-            got = search(its, seg)
+            got = [(item, d, *counts) for d, i, *counts in search(its, seg) for item in its.ids[i]]
             if got:
-                d, i, *counts = zip(*got)
-                columns = [pa.array([its.ids[k] for k in i], pa.int64()), seg.docs.take(pa.array(d, pa.int32())), *(pa.array(c, pa.int32()) for c in counts)]
+                item, d, *counts = zip(*got)
+                columns = [pa.array(item, pa.int64()), seg.docs.take(pa.array(d, pa.int32())), *(pa.array(c, pa.int32()) for c in counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["item_id", "d", "n_words", "longest_run", "longest_phrase"])
 
     found = lists.mapInArrow(match, f"item_id long, d {kind}, n_words int, longest_run int, longest_phrase int")

@@ -45,6 +45,13 @@ def test_leaks(spark):
     assert find_leaks(df.limit(0), held).count() == 0 and find_leaks(df, held.limit(0)).count() == 0
 
 
+def test_items_that_say_the_same(spark):
+    part = [w if k % 9 else "other" for k, w in enumerate(words(2)[:40], 1)]
+    df = spark.createDataFrame([(1, around(" ".join(part)))], "doc_id long, text string")
+    held = spark.createDataFrame([*ITEMS, (40, ITEMS[1][1]), (41, ITEMS[1][1].upper())], "item_id long, item_text string")
+    assert sorted(r.item_id for r in find_leaks(df, held).collect()) == [2, 40, 41]
+
+
 def test_one_item(spark):
     df = spark.createDataFrame([(1, around(ITEMS[0][1])), (2, around(""))], "doc_id long, text string")
     held = spark.createDataFrame(ITEMS[:1], "item_id long, item_text string")
