@@ -22,8 +22,8 @@ from caselens.session import checkpointed, local_frame
 
 from .postings import DOCUMENTS, NUMBERS, Segment, build_index, corpus_words, segments, word_tokens
 
-#: The items are broadcast; a larger set is refused. Several sets can be searched one after another.
-MAX_ITEMS, MAX_ITEM_WORDS = 100_000, 20_000_000
+#: The items are broadcast; a larger set is refused. Several sets can be searched one after another over one index.
+MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 2_000_000
 #: Words of one stretch that an item and a document must share; of several stretches (sentences in another order) in all,
 #: and in each.
 LEAST_WORDS, LEAST_IN_ALL, LEAST_OF_SEVERAL = 18, 22, 8
