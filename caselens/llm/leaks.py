@@ -143,9 +143,11 @@ def runs(size: int, place: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     some = hi - lo >= LEAST_RUN
     place, off = place[some], off[some]
     hit = np.zeros(size, bool)
-    for a in range(0, len(off), 512):  # offsets are in order: only neighbours need be compared
-        lo, hi = np.searchsorted(off, off[a] - DRIFT, "left"), np.searchsorted(off, off[min(a + 511, len(off) - 1)] + DRIFT, "right")
-        p, o = place[a : a + 512], off[a : a + 512]
+    even = np.flatnonzero(np.searchsorted(off, off, "right") - np.searchsorted(off, off, "left") >= LEAST_EVEN)
+    for a in range(0, len(even), 512):  # offsets are in order: only neighbours need be compared
+        some = even[a : a + 512]
+        lo, hi = np.searchsorted(off, [off[some[0]] - DRIFT, off[some[-1]] + DRIFT + 1])
+        p, o = place[some], off[some]
         near, apart = np.abs(p[:, None] - place[None, lo:hi]) <= 2 * GAP, np.abs(o[:, None] - off[None, lo:hi])
         hit[p[((near & (apart <= DRIFT)).sum(1) >= LEAST_RUN) & ((near & (apart == 0)).sum(1) >= LEAST_EVEN)]] = True
     where = np.flatnonzero(hit)
