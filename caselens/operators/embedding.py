@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -64,13 +65,16 @@ def hashed_words(dims: int = 64) -> Callable[[], Callable[[list[str]], list]]:
     """A model that needs no weights, to stand in for one: each word between blanks counts in a place and with a sign that its hash picks."""
 
     def load():
+        @functools.lru_cache(100_000)
+        def place(w: str) -> int:
+            h = int(hashlib.md5(w.encode()).hexdigest()[:7], 16)
+            return h % dims + (0 if h // dims % 2 else dims)
+
         def model(texts: list[str]) -> list:
             out = np.zeros((len(texts), dims))
             for i, text in enumerate(texts):
-                for w in text.split(" "):
-                    if w:
-                        h = int(hashlib.md5(w.encode()).hexdigest()[:7], 16)
-                        out[i, h % dims] += 1 if h // dims % 2 else -1
+                n = np.bincount([place(w) for w in text.split(" ") if w] or [0, dims], minlength=2 * dims)
+                out[i] = n[:dims] - n[dims:]
             return list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12))
 
         return model
